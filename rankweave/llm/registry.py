@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op02_quality, op03_shards, op04_toxicity, op08_urls
+from . import op02_quality, op03_shards, op04_toxicity, op07_decontaminate, op08_urls
 
 QUERIES = {
     "op2_quality": op02_quality.op2_quality,
     "op3_shards": op03_shards.op3_shards,
     "op4_toxicity": op04_toxicity.op4_toxicity,
+    "op7_decontaminate": op07_decontaminate.op7_decontaminate,
     "op8_url_filter": op08_urls.op8_url_filter,
 }
 ORACLE_SQL = {
+    "op7_decontaminate": op07_decontaminate.ORACLE_SQL,
     "op8_url_filter": op08_urls.ORACLE_SQL,
 }
