@@ -24,7 +24,7 @@ from .labelled import held_out, sample
 from .shared import table
 
 #: The training sample: so many documents of each label at most, of so many bytes at most.
-TRAIN_EACH, TRAIN_BYTES = 2000, 12_000
+TRAIN_EACH, TRAIN_BYTES = 1200, 8_000
 #: A word or affix is toxic if so many toxic documents have it, and at most this share as many of the clean ones, by rates.
 SUPPORT, CLEAN_SHARE = 4, 0.02
 BUCKETS = 1 << 18
