@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op02_quality, op03_shards, op04_toxicity, op07_decontaminate, op08_urls
+from . import op01_mix, op02_quality, op03_shards, op04_toxicity, op07_decontaminate, op08_urls
 
 QUERIES = {
+    "op1_mix": op01_mix.op1_mix,
     "op2_quality": op02_quality.op2_quality,
     "op3_shards": op03_shards.op3_shards,
     "op4_toxicity": op04_toxicity.op4_toxicity,
