@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup
+from . import op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup, op10_html
 
 QUERIES = {
     "op1_mix": op01_mix.op1_mix,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": op07_decontaminate.op7_decontaminate,
     "op8_url_filter": op08_urls.op8_url_filter,
     "op9_neardup": op09_neardup.op9_neardup,
+    "op10_html": op10_html.op10_html,
 }
 ORACLE_SQL = {
     "op5_substrings": op05_substrings.ORACLE_SQL,
