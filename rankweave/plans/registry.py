@@ -1,7 +1,8 @@
-"""Every query of the reference's operator families, with its SQL oracle."""
+"""Every query of the engine's operator families, with its SQL oracle."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import text_queries  # noqa: F401  registers its queries
+from .base import ORACLE_SQL, QUERIES
+
 FLAGSHIP = None
