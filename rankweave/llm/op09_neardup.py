@@ -11,8 +11,9 @@ the full shingle sets.
 Groups may be very large, so pairs inside a bucket are never listed. Equal sets become one class first;
 buckets with the same members are merged; then every member is compared with one hub, first the smallest id,
 then the member with most links. Buckets whose members are connected are done. Only what is still apart
-is compared member by member, by signatures, in blocks, and only pairs within REACH come out to be confirmed.
-Connecting links are all that components need; no link between different components is ever skipped.
+is compared member by member, in blocks, by signatures and then by longer ones (LONG values, LONG_REACH of them
+may differ, with a miss rate below one in a million); first the nearest few, then all such pairs come out to
+be confirmed. Connecting links are all that components need; none between different components is skipped.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; rows with the same id are
 one document, linked with whatever one of them is; a null id has no component (null) and is kept; repeated
@@ -27,17 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .components import contract
+from .components import contract, merged
 from .shared import stash, table
 
 WORDS, PERCENT = 3, 85
 PARTS, CHUNKS, REACH = 64, 12, 23
+LONG, LONG_REACH = 384, 91
 HUB_ROWS, BLOCK_ROWS = 256, 1024
-NEAREST = 4
+NEAREST = 3
 
 _HASH = textkit.Hasher(909, lower=True)
 _RNG = np.random.default_rng(910)
-_FACTORS = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RNG.integers(0, 2**63, PARTS + LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUES = _RNG.integers(0, 2**64, (PARTS, 256), dtype=np.uint64)
 _CHUNK_OF = np.arange(PARTS) * CHUNKS // PARTS
 
@@ -62,12 +64,12 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.
     return grams[new], np.searchsorted(of[new], np.arange(rows + 1))
 
 
-def sign(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def sign(grams: np.ndarray, begin: np.ndarray, factors: np.ndarray = _FACTORS[:PARTS]) -> np.ndarray:
     """Signatures of the rows that have shingles."""
     at = begin[:-1][np.diff(begin) > 0]
-    out = np.empty((len(at), PARTS), np.uint8)
+    out = np.empty((len(at), len(factors)), np.uint8)
     if len(at):
-        for i, f in enumerate(_FACTORS):
+        for i, f in enumerate(factors):
             out[:, i] = (textkit.mix(np.minimum.reduceat(grams * f, at)) >> np.uint64(56)).astype(np.uint8)
     return out
 
@@ -92,9 +94,24 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, width: int = PARTS) -> np.ndarray:
     data, offsets = textkit.flat(column)
-    return data[offsets[0] : offsets[-1]].reshape(-1, PARTS)
+    return data[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
+def lengthened(texts: DataFrame) -> DataFrame:
+    """rid, n_shingles, sig and the longer signature of texts (rid, text) that have shingles."""
+
+    def signed(batches):
+        for b in batches:
+            for lo, hi, data, offsets in textkit.slices(b.column("text")):
+                grams, begin = sets(data, offsets)
+                full = np.flatnonzero(np.diff(begin) > 0)
+                values = sign(grams, begin, _FACTORS)
+                columns = [b.column("rid").slice(lo, hi - lo).take(pa.array(full)), pa.array(np.diff(begin)[full]), *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (values[:, :PARTS], values[:, PARTS:]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "n_shingles", "sig", "long"])
+
+    return texts.mapInArrow(signed, "rid long, n_shingles long, sig binary, long binary")
 
 
 def masked(reps: DataFrame) -> DataFrame:
@@ -115,7 +132,7 @@ def buckets(reps: DataFrame) -> DataFrame:
     keys = masked(reps)
     mark = (F.bit_xor(F.xxhash64("rid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "rid")).alias("x2"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *mark).where("n > 1")
-    return keys.join(shared.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key")
+    return keys.join(shared.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key").hint("merge"), "key")
 
 
 def near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -177,13 +194,14 @@ def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
     return stash(named.join(open_, "key"), "apart")
 
 
-def _across(apart: DataFrame, reps: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs of members in different components, within REACH: the nearest few of each, or all.
+def _across(apart: DataFrame, longs: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs of members in different components that may be linked: the nearest few of each member, or all.
 
-    A bucket is cut into blocks of BLOCK_ROWS members, and each pair of blocks is one task's work.
+    A bucket is cut into blocks of BLOCK_ROWS members, and each pair of blocks is one task's work. Members of a pair
+    of blocks' commonest component needn't look for partners, as all others look for theirs.
     """
     sizes = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    rows = apart.join(sizes, "key").join(reps.select("rid", "n_shingles", "sig"), "rid")
+    rows = apart.join(sizes, "key").join(longs, "rid")
     own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -191,20 +209,22 @@ def _across(apart: DataFrame, reps: DataFrame, nearest: int | None) -> DataFrame
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         rid, c, n, side = (t.column(x).to_numpy() for x in ("rid", "c", "n_shingles", "own"))
-        sig = _matrix(t.column("sig"))
-        pick = [np.flatnonzero(side == x) for x in (t.column("lo")[0].as_py(), t.column("hi")[0].as_py())]
+        sig, long = _matrix(t.column("sig")), _matrix(t.column("long"), LONG)
+        within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        names, counts = np.unique(c, return_counts=True)
         found = [np.zeros((2, 0), np.int64)]
-        for i in pick[0]:
-            j = pick[1][(c[pick[1]] != c[i]) & (100 * np.minimum(n[pick[1]], n[i]) >= PERCENT * np.maximum(n[pick[1]], n[i]))]
-            d = (sig[j] != sig[i]).sum(1)
-            j, d = j[d <= REACH], d[d <= REACH]
+        for i in np.flatnonzero(c != names[np.argmax(counts)]):
+            j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+            j = j[(sig[j] != sig[i]).sum(1) <= REACH]
+            d = (long[j] != long[i]).sum(1)
+            j, d = j[d <= LONG_REACH], d[d <= LONG_REACH]
             if nearest:
                 j = j[np.lexsort((rid[j], d))[:nearest]]
             found.append(np.array([np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])]))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": a, "b": b})
 
-    return rows.select("key", "lo", "hi", "own", "rid", "c", "n_shingles", "sig").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return rows.select("key", "lo", "hi", "own", "rid", "c", "n_shingles", "sig", "long").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -220,8 +240,9 @@ def components(docs: DataFrame) -> DataFrame:
     links = of_class.where("rid IS NOT NULL").groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("a", "b")
     links = stash(links, "links")
     label = contract(links)
+    longs = stash(lengthened(texts), "longs")
     apart, tried = members, None
-    for how in ("smallest", "linked", "linked", "near", "near", "all"):
+    for how in ("smallest", "linked", "near", "all"):
         if how == "smallest":
             hubs = apart.groupBy("key").agg(F.min("rid").alias("hub"))
         elif how == "linked":
@@ -231,12 +252,14 @@ def components(docs: DataFrame) -> DataFrame:
             pairs = apart.join(hubs, "key").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
             pairs = near(pairs, reps)
         else:
-            pairs = _across(apart, reps, NEAREST if how == "near" else None)
+            pairs = _across(apart, longs, NEAREST if how == "near" else None)
         pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         fresh = stash(confirmed(pairs, texts), "links")
         links = links.unionByName(fresh)
-        label = contract(links)
+        label = merged(label, fresh)
+        if how == "all":
+            break
         apart = _apart(members if how == "smallest" else apart.select("key", "rid"), label)
         if not apart.limit(1).count():
             break
