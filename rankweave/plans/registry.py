@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ranking_queries, retrieval_queries, text_queries  # noqa: F401  they register their queries
+from . import curation_queries, ranking_queries, retrieval_queries, text_queries  # noqa: F401  they register their queries
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = retrieval_queries.lexical_evaluation
