@@ -11,9 +11,9 @@ the full shingle sets.
 Groups may be very large, so pairs inside a bucket are never listed. Equal sets become one class first;
 buckets with the same members are merged; then every member is compared with one hub, first the smallest id,
 then the member with most links. Buckets whose members are connected are done. Only what is still apart
-is compared member by member, in blocks, by signatures and then by longer ones (LONG values, LONG_REACH of them
-may differ, with a miss rate below one in a million); first the nearest few, then all such pairs come out to
-be confirmed. Connecting links are all that components need; none between different components is skipped.
+is compared member by member, in blocks: signatures within REACH, then the full sets as bit rows, and only
+links that join components come out. Connecting links are all that components need; no pair of members of
+different components is skipped.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; rows with the same id are
 one document, linked with whatever one of them is; a null id has no component (null) and is kept; repeated
@@ -33,13 +33,12 @@ from .shared import stash, table
 
 WORDS, PERCENT = 3, 85
 PARTS, CHUNKS, REACH = 64, 12, 23
-LONG, LONG_REACH = 384, 91
 HUB_ROWS, BLOCK_ROWS = 256, 1024
-NEAREST = 3
+SLAB = 1 << 14  # shingles that a bit row holds at once
 
 _HASH = textkit.Hasher(909, lower=True)
 _RNG = np.random.default_rng(910)
-_FACTORS = _RNG.integers(0, 2**63, PARTS + LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUES = _RNG.integers(0, 2**64, (PARTS, 256), dtype=np.uint64)
 _CHUNK_OF = np.arange(PARTS) * CHUNKS // PARTS
 
@@ -64,12 +63,12 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.
     return grams[new], np.searchsorted(of[new], np.arange(rows + 1))
 
 
-def sign(grams: np.ndarray, begin: np.ndarray, factors: np.ndarray = _FACTORS[:PARTS]) -> np.ndarray:
+def sign(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Signatures of the rows that have shingles."""
     at = begin[:-1][np.diff(begin) > 0]
-    out = np.empty((len(at), len(factors)), np.uint8)
+    out = np.empty((len(at), PARTS), np.uint8)
     if len(at):
-        for i, f in enumerate(factors):
+        for i, f in enumerate(_FACTORS):
             out[:, i] = (textkit.mix(np.minimum.reduceat(grams * f, at)) >> np.uint64(56)).astype(np.uint8)
     return out
 
@@ -94,24 +93,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def _matrix(column, width: int = PARTS) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     data, offsets = textkit.flat(column)
-    return data[offsets[0] : offsets[-1]].reshape(-1, width)
-
-
-def lengthened(texts: DataFrame) -> DataFrame:
-    """rid, n_shingles, sig and the longer signature of texts (rid, text) that have shingles."""
-
-    def signed(batches):
-        for b in batches:
-            for lo, hi, data, offsets in textkit.slices(b.column("text")):
-                grams, begin = sets(data, offsets)
-                full = np.flatnonzero(np.diff(begin) > 0)
-                values = sign(grams, begin, _FACTORS)
-                columns = [b.column("rid").slice(lo, hi - lo).take(pa.array(full)), pa.array(np.diff(begin)[full]), *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (values[:, :PARTS], values[:, PARTS:]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "n_shingles", "sig", "long"])
-
-    return texts.mapInArrow(signed, "rid long, n_shingles long, sig binary, long binary")
+    return data[offsets[0] : offsets[-1]].reshape(-1, PARTS)
 
 
 def masked(reps: DataFrame) -> DataFrame:
@@ -194,37 +178,71 @@ def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
     return stash(named.join(open_, "key"), "apart")
 
 
-def _across(apart: DataFrame, longs: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs of members in different components that may be linked: the nearest few of each member, or all.
+def _shared(grams: np.ndarray, begin: np.ndarray, asking: np.ndarray, partners: list[np.ndarray]) -> list[np.ndarray]:
+    """For each asking row, how many shingles it shares with each of its partners."""
+    _, column, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    both = counts > 1  # a shingle of one row is in no intersection
+    column = np.where(both, np.cumsum(both) - 1, -1)[column]
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    out = [np.zeros(len(j), np.int64) for j in partners]
+    for lo in range(0, int(both.sum()), SLAB):
+        inside = (column >= lo) & (column < lo + SLAB)
+        bits = np.zeros((len(begin) - 1, SLAB), bool)
+        bits[row[inside], column[inside] - lo] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        for i, j, n in zip(asking, partners, out, strict=True):
+            n += np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+    return out
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    """Links that join components among the members (rid, c, text, own) of a block, or between two blocks, of a bucket.
 
-    A bucket is cut into blocks of BLOCK_ROWS members, and each pair of blocks is one task's work. Members of a pair
-    of blocks' commonest component needn't look for partners, as all others look for theirs.
+    Members of the commonest component needn't ask for partners, as all others ask for theirs.
     """
+    t = t.combine_chunks()
+    parts, base = [], 0
+    for _, _, data, offsets in textkit.slices(t.column("text")):
+        grams, begin = sets(data, offsets)
+        parts.append((grams, begin[:-1] + base))
+        base += len(grams)
+    grams, begin = np.concatenate([g for g, _ in parts]), np.append(np.concatenate([b for _, b in parts]), base)
+    n = np.diff(begin)
+    rid, c, side = (t.column(x).to_numpy() for x in ("rid", "c", "own"))
+    sig = np.zeros((len(n), PARTS), np.uint8)
+    sig[n > 0] = sign(grams, begin)
+    within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+    names, counts = np.unique(c, return_counts=True)
+    asking = np.flatnonzero((c != names[np.argmax(counts)]) & (n > 0))
+    partners = []
+    for i in asking:
+        j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (n > 0) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        partners.append(j[(sig[j] != sig[i]).sum(1) <= REACH])
+    own: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := own.get(x, x)) != x:
+            x = up
+        return x
+
+    found = []
+    for i, j, common in zip(asking, partners, _shared(grams, begin, asking, partners), strict=True):
+        j = j[100 * common >= PERCENT * (n[j] + n[i] - common)]
+        for other, at in zip(*np.unique(c[j], return_index=True), strict=True):
+            x, y = root(int(c[i])), root(int(other))
+            if x != y:
+                own[max(x, y)] = min(x, y)
+                found.append(sorted((int(rid[i]), int(rid[j[at]]))))
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is apart in a bucket. Blocks of BLOCK_ROWS members meet pair by pair, a task each."""
     sizes = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    rows = apart.join(sizes, "key").join(longs, "rid")
-    own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = apart.join(sizes, "key").join(texts, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        rid, c, n, side = (t.column(x).to_numpy() for x in ("rid", "c", "n_shingles", "own"))
-        sig, long = _matrix(t.column("sig")), _matrix(t.column("long"), LONG)
-        within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        names, counts = np.unique(c, return_counts=True)
-        found = [np.zeros((2, 0), np.int64)]
-        for i in np.flatnonzero(c != names[np.argmax(counts)]):
-            j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-            j = j[(sig[j] != sig[i]).sum(1) <= REACH]
-            d = (long[j] != long[i]).sum(1)
-            j, d = j[d <= LONG_REACH], d[d <= LONG_REACH]
-            if nearest:
-                j = j[np.lexsort((rid[j], d))[:nearest]]
-            found.append(np.array([np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])]))
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": a, "b": b})
-
-    return rows.select("key", "lo", "hi", "own", "rid", "c", "n_shingles", "sig", "long").groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return rows.select("key", "lo", "hi", "own", "rid", "c", "text").groupBy("key", "lo", "hi").applyInArrow(_compare, "a long, b long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -234,31 +252,28 @@ def components(docs: DataFrame) -> DataFrame:
     classes = stash(known.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("s1", "s2", "n_shingles", F.col("r.doc_id").alias("rid"), F.col("r.sig").alias("sig")), "classes")
     reps = classes.select("rid", "n_shingles", "sig")
     members = stash(buckets(reps), "members")
-    texts = stash(docs.select(F.col("doc_id").alias("rid"), "text").join(members.select("rid").distinct(), "rid", "left_semi"), "texts")
+    texts = stash(docs.select(F.col("doc_id").alias("rid"), "text").join(members.select("rid").distinct().hint("merge"), "rid", "left_semi"), "texts")
     of_class = signed.join(classes.select("s1", "s2", "n_shingles", "rid"), ["s1", "s2", "n_shingles"], "left")
     # rows with one id but different texts are one document
     links = of_class.where("rid IS NOT NULL").groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("a", "b")
     links = stash(links, "links")
     label = contract(links)
-    longs = stash(lengthened(texts), "longs")
-    apart, tried = members, None
-    for how in ("smallest", "linked", "near", "all"):
-        if how == "smallest":
-            hubs = apart.groupBy("key").agg(F.min("rid").alias("hub"))
-        elif how == "linked":
-            degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
-            hubs = apart.join(degree, "rid", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("rid")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("hub"))
-        if how in ("smallest", "linked"):
-            pairs = apart.join(hubs, "key").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
-            pairs = near(pairs, reps)
+    apart = members
+    for how in ("smallest", "linked", "apart"):
+        if how == "apart":
+            fresh = _across(apart, texts)
         else:
-            pairs = _across(apart, longs, NEAREST if how == "near" else None)
-        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = stash(confirmed(pairs, texts), "links")
+            if how == "smallest":
+                hubs = apart.groupBy("key").agg(F.min("rid").alias("hub"))
+            else:
+                degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
+                hubs = apart.join(degree, "rid", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("rid")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("hub"))
+            pairs = apart.join(hubs, "key").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
+            fresh = confirmed(stash(near(pairs, reps), "pairs"), texts)
+        fresh = stash(fresh, "links")
         links = links.unionByName(fresh)
         label = merged(label, fresh)
-        if how == "all":
+        if how == "apart":
             break
         apart = _apart(members if how == "smallest" else apart.select("key", "rid"), label)
         if not apart.limit(1).count():
