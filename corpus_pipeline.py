@@ -14,6 +14,9 @@ from rankweave.llm import op01_mix, op02_quality, op03_shards, op07_decontaminat
 from rankweave.llm.shared import stash, table
 
 SHARDS = 40
+#: Near copies share 80 % of their 5-word shingles or 85 % of their 3-word ones: the first also finds longer changes
+#: at one place, the second more changes of single words.
+NEAR = ((3, 85), (5, 80))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    return op09_neardup.deduplicated(docs)
+    return op09_neardup.deduplicated(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit minwise signatures.
 
-A document's set of distinct 3-word shingles gets a signature of PARTS values of 8 bits, each equal between
-two sets with their Jaccard similarity as probability. Linked sets differ in REACH values at most (a sum of
-PARTS draws; the share of links at the very threshold that lie further is about one in 100,000, and falls
-steeply above it). The signature is split into CHUNKS chunks, and since REACH < 2 * CHUNKS some chunk of any
+A document's set of distinct shingles (``words`` words each) gets a signature of PARTS values of 8 bits, each
+equal between two sets with their Jaccard similarity as probability. Linked sets differ in REACH values at most
+(a sum of PARTS draws; the share of links at the very threshold that lie further is about one in 100,000, and
+falls steeply above it). The query op9_neardup links from 3 words and 85 percent; a lower threshold needs more
+values and a longer reach (``Law``). The signature is split into CHUNKS chunks, and since REACH < 2 * CHUNKS some chunk of any
 such pair has one error at most. So for every chunk each single value in turn is masked, which enumerates all
 allowed errors on both sides: equal masked chunks find every pair within REACH. Candidates are confirmed on
 the full shingle sets.
@@ -22,6 +23,9 @@ rows are all returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +41,43 @@ HUB_ROWS, BLOCK_ROWS = 256, 1024
 SLAB = 1 << 14  # shingles that a bit row holds at once
 
 _HASH = textkit.Hasher(909, lower=True)
-_RNG = np.random.default_rng(910)
-_FACTORS = _RNG.integers(0, 2**63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES = _RNG.integers(0, 2**64, (PARTS, 256), dtype=np.uint64)
-_CHUNK_OF = np.arange(PARTS) * CHUNKS // PARTS
+#: Least percent, PARTS and CHUNKS of a signature that holds there; the reach is 2 * CHUNKS - 1.
+SHAPES = ((PERCENT, PARTS, CHUNKS), (80, 85, 17))
+
+
+@lru_cache
+def _drawn(parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of the minwise hashes, and a hash of each value at each place."""
+    rng = np.random.default_rng(910)
+    return rng.integers(0, 2**63, parts, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**64, (parts, 256), dtype=np.uint64)
+
+
+class Law(NamedTuple):
+    """What a link is (shingles of so many words, similar to so many percent), and the signature that finds all."""
+
+    words: int
+    percent: int
+    parts: int
+    chunks: int
+
+    @property
+    def reach(self) -> int:
+        return 2 * self.chunks - 1
+
+    @property
+    def chunk_of(self) -> np.ndarray:
+        return np.arange(self.parts) * self.chunks // self.parts
+
+
+def law(words: int = WORDS, percent: int = PERCENT) -> Law:
+    for least, parts, chunks in SHAPES:
+        if percent >= least:
+            return Law(words, percent, parts, chunks)
+    raise ValueError(f"no signature holds at {percent} percent; the least is {SHAPES[-1][0]}")
+
+
+OP9 = law()
+_CHUNK_OF = OP9.chunk_of
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +100,23 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.
     return grams[new], np.searchsorted(of[new], np.arange(rows + 1))
 
 
-def sign(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def sign(grams: np.ndarray, begin: np.ndarray, parts: int = PARTS) -> np.ndarray:
     """Signatures of the rows that have shingles."""
     at = begin[:-1][np.diff(begin) > 0]
-    out = np.empty((len(at), PARTS), np.uint8)
+    out = np.empty((len(at), parts), np.uint8)
     if len(at):
-        for i, f in enumerate(_FACTORS):
+        for i, f in enumerate(_drawn(parts)[0]):
             out[:, i] = (textkit.mix(np.minimum.reduceat(grams * f, at)) >> np.uint64(56)).astype(np.uint8)
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, by: Law = OP9) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (s1, s2), and the signature (null without shingles)."""
 
     def signed(batches):
         for b in batches:
             for lo, hi, data, offsets in textkit.slices(b.column("text")):
-                grams, begin = sets(data, offsets)
+                grams, begin = sets(data, offsets, by.words)
                 n = np.diff(begin)
                 full = np.flatnonzero(n > 0)
                 digests = np.zeros((2, hi - lo), np.uint64)
@@ -87,51 +124,51 @@ def signatures(docs: DataFrame) -> DataFrame:
                     if len(full):
                         digests[i][full] = textkit.mix(np.add.reduceat(textkit.mix(grams ^ np.uint64(salt)), begin[:-1][full]))
                 sig = np.full(hi - lo, None, object)
-                sig[full] = [s.tobytes() for s in sign(grams, begin)]
+                sig[full] = [s.tobytes() for s in sign(grams, begin, by.parts)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n), *(pa.array(d.view(np.int64)) for d in digests), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, parts: int) -> np.ndarray:
     data, offsets = textkit.flat(column)
-    return data[offsets[0] : offsets[-1]].reshape(-1, PARTS)
+    return data[offsets[0] : offsets[-1]].reshape(-1, parts)
 
 
-def masked(reps: DataFrame) -> DataFrame:
+def masked(reps: DataFrame, by: Law = OP9) -> DataFrame:
     """key, rid: every chunk of every signature with each of its values masked in turn."""
 
     def keys(batches):
         for b in batches:
-            values = _VALUES[np.arange(PARTS), _matrix(b.column("sig"))]
-            totals = np.add.reduceat(values, np.searchsorted(_CHUNK_OF, np.arange(CHUNKS)), axis=1)
-            key = textkit.mix(totals[:, _CHUNK_OF] - values + np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rid").to_numpy(), PARTS))], names=["key", "rid"])
+            values = _drawn(by.parts)[1][np.arange(by.parts), _matrix(b.column("sig"), by.parts)]
+            totals = np.add.reduceat(values, np.searchsorted(by.chunk_of, np.arange(by.chunks)), axis=1)
+            key = textkit.mix(totals[:, by.chunk_of] - values + np.arange(1, by.parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rid").to_numpy(), by.parts))], names=["key", "rid"])
 
     return reps.select("rid", "sig").mapInArrow(keys, "key long, rid long")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
+def buckets(reps: DataFrame, by: Law = OP9) -> DataFrame:
     """key, rid of the masked chunks that several classes share; one key for each set of members."""
-    keys = masked(reps)
+    keys = masked(reps, by)
     mark = (F.bit_xor(F.xxhash64("rid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "rid")).alias("x2"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *mark).where("n > 1")
     return keys.join(shared.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key").hint("merge"), "key")
 
 
-def near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, reps: DataFrame, by: Law = OP9) -> DataFrame:
     """The pairs (a, b) whose set sizes and signatures allow a link."""
     side = lambda c: reps.select(F.col("rid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= by.percent * F.greatest("n_a", "n_b"))
 
     def within(batches):
         for b in batches:
-            yield b.filter(pa.array((_matrix(b.column("sig_a")) != _matrix(b.column("sig_b"))).sum(1) <= REACH)).select(["a", "b"])
+            yield b.filter(pa.array((_matrix(b.column("sig_a"), by.parts) != _matrix(b.column("sig_b"), by.parts)).sum(1) <= by.reach)).select(["a", "b"])
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(within, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, by: Law = OP9) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.
 
     Pairs are grouped by ``b``, HUB_ROWS at a time: a hub's text comes once for each such part and its members' texts
@@ -151,7 +188,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             names = [b.column(c).to_pylist() for c in ("hub", "part", "rid", "role")]
             out: list[tuple[int, int]] = []
             for lo, _, data, offsets in textkit.slices(b.column("text")):
-                grams, begin = sets(data, offsets)
+                grams, begin = sets(data, offsets, by.words)
                 for r in range(len(begin) - 1):
                     hub, part, rid, role = (v[lo + r] for v in names)
                     if at != (hub, part):
@@ -162,7 +199,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         continue
                     for other in held:
                         common = np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own) if len(other) else 0
-                        if common and 100 * common >= PERCENT * (len(own) + len(other) - common):
+                        if common and 100 * common >= by.percent * (len(own) + len(other) - common):
                             out.append((rid, hub))
                             break
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -195,7 +232,7 @@ def _shared(grams: np.ndarray, begin: np.ndarray, asking: np.ndarray, partners:
     return out
 
 
-def _compare(t: pa.Table) -> pa.Table:
+def _compare(t: pa.Table, by: Law = OP9) -> pa.Table:
     """Links that join components among the members (rid, c, text, own) of a block, or between two blocks, of a bucket.
 
     Members of the commonest component needn't ask for partners, as all others ask for theirs.
@@ -203,21 +240,21 @@ def _compare(t: pa.Table) -> pa.Table:
     t = t.combine_chunks()
     parts, base = [], 0
     for _, _, data, offsets in textkit.slices(t.column("text")):
-        grams, begin = sets(data, offsets)
+        grams, begin = sets(data, offsets, by.words)
         parts.append((grams, begin[:-1] + base))
         base += len(grams)
     grams, begin = np.concatenate([g for g, _ in parts]), np.append(np.concatenate([b for _, b in parts]), base)
     n = np.diff(begin)
     rid, c, side = (t.column(x).to_numpy() for x in ("rid", "c", "own"))
-    sig = np.zeros((len(n), PARTS), np.uint8)
-    sig[n > 0] = sign(grams, begin)
+    sig = np.zeros((len(n), by.parts), np.uint8)
+    sig[n > 0] = sign(grams, begin, by.parts)
     within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
     names, counts = np.unique(c, return_counts=True)
     asking = np.flatnonzero((c != names[np.argmax(counts)]) & (n > 0))
     partners = []
     for i in asking:
-        j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (n > 0) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-        partners.append(j[(sig[j] != sig[i]).sum(1) <= REACH])
+        j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (n > 0) & (100 * np.minimum(n, n[i]) >= by.percent * np.maximum(n, n[i])))
+        partners.append(j[(sig[j] != sig[i]).sum(1) <= by.reach])
     own: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -227,7 +264,7 @@ def _compare(t: pa.Table) -> pa.Table:
 
     found = []
     for i, j, common in zip(asking, partners, _shared(grams, begin, asking, partners), strict=True):
-        j = j[100 * common >= PERCENT * (n[j] + n[i] - common)]
+        j = j[100 * common >= by.percent * (n[j] + n[i] - common)]
         for other, at in zip(*np.unique(c[j], return_index=True), strict=True):
             x, y = root(int(c[i])), root(int(other))
             if x != y:
@@ -236,32 +273,40 @@ def _compare(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(apart: DataFrame, texts: DataFrame, by: Law = OP9) -> DataFrame:
     """Links (a, b) that join what is apart in a bucket. Blocks of BLOCK_ROWS members meet pair by pair, a task each."""
     sizes = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     rows = apart.join(sizes, "key").join(texts, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    return rows.select("key", "lo", "hi", "own", "rid", "c", "text").groupBy("key", "lo", "hi").applyInArrow(_compare, "a long, b long").distinct()
+    return rows.select("key", "lo", "hi", "own", "rid", "c", "text").groupBy("key", "lo", "hi").applyInArrow(lambda t: _compare(t, by), "a long, b long").distinct()
+
 
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, earlier: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs; linked from ``percent`` of their ``words``-word shingles.
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    signed = stash(signatures(docs), "signed")
+    earlier: components (doc_id, component_id) by another law, whose members are linked as well.
+    """
+    by = law(words, percent)
+    signed = stash(signatures(docs, by), "signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stash(known.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("s1", "s2", "n_shingles", F.col("r.doc_id").alias("rid"), F.col("r.sig").alias("sig")), "classes")
     reps = classes.select("rid", "n_shingles", "sig")
-    members = stash(buckets(reps), "members")
-    texts = stash(docs.select(F.col("doc_id").alias("rid"), "text").join(members.select("rid").distinct().hint("merge"), "rid", "left_semi"), "texts")
+    members = stash(buckets(reps, by), "members")
     of_class = signed.join(classes.select("s1", "s2", "n_shingles", "rid"), ["s1", "s2", "n_shingles"], "left")
     # rows with one id but different texts are one document
     links = of_class.where("rid IS NOT NULL").groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("a", "b")
+    if earlier is not None:
+        held = of_class.where("rid IS NOT NULL").join(earlier.select("doc_id", "component_id").distinct(), "doc_id").select("component_id", F.col("rid").alias("b")).distinct()
+        first = held.groupBy("component_id").agg(F.min("b").alias("a"))
+        links = links.unionByName(held.join(first, "component_id").where("a <> b").select("a", "b")).distinct()
     links = stash(links, "links")
     label = contract(links)
-    apart = members
+    apart = members if earlier is None else _apart(members, label)
+    texts = stash(docs.select(F.col("doc_id").alias("rid"), "text").join(apart.select("rid").distinct().hint("merge"), "rid", "left_semi"), "texts")
     for how in ("smallest", "linked", "apart"):
         if how == "apart":
-            fresh = _across(apart, texts)
+            fresh = _across(apart, texts, by)
         else:
             if how == "smallest":
                 hubs = apart.groupBy("key").agg(F.min("rid").alias("hub"))
@@ -269,13 +314,13 @@ def components(docs: DataFrame) -> DataFrame:
                 degree = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("degree"))
                 hubs = apart.join(degree, "rid", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("rid")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("hub"))
             pairs = apart.join(hubs, "key").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
-            fresh = confirmed(stash(near(pairs, reps), "pairs"), texts)
+            fresh = confirmed(stash(near(pairs, reps, by), "pairs"), texts, by)
         fresh = stash(fresh, "links")
         links = links.unionByName(fresh)
         label = merged(label, fresh)
         if how == "apart":
             break
-        apart = _apart(members if how == "smallest" else apart.select("key", "rid"), label)
+        apart = _apart(apart.select("key", "rid"), label)
         if not apart.limit(1).count():
             break
     named = of_class.join(label.withColumnRenamed("v", "rid"), "rid", "left")
@@ -286,12 +331,17 @@ def kept():
     return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, laws: tuple[tuple[int, int], ...] = ((WORDS, PERCENT),)) -> DataFrame:
     """The rows of docs, with their columns, of the first document of each component; a document's repeated rows are one.
 
-    Rows without an id stay.
+    Documents are linked by any of the laws (words, percent). Rows without an id stay.
     """
-    ids = stash(components(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    found = None
+    for words, percent in laws:
+        found = components(docs, words, percent, found)
+        if len(laws) > 1:
+            found = stash(found, "found")
+    ids = stash(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     first = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.where("doc_id IS NULL"))
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty tables, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rankweave.llm import chain, op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup, op10_html, textkit
 from rankweave.llm.components import contract
 
@@ -149,6 +151,44 @@ def test_signature_distance_is_guaranteed():
         assert np.bincount(op09_neardup._CHUNK_OF, a != b).min() <= 1
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """The stage links copies cut, lengthened or replaced at one end to 80 to 84 percent, and what op9 links, and chains of both."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        copy = {0: w[: 4 + 160 + i % 5], 1: w + [f"x{j}" for j in range(40 + i % 15)], 2: w[:182] + [f"y{j}" for j in range(22)]}[i % 3]
+        n = {0: 160 + i % 5, 1: 200, 2: 178}[i % 3]
+        all_ = {0: 200, 1: 240 + i % 15, 2: 222}[i % 3]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(copy))]
+        want[2 * i] = 2 * i
+        want[2 * i + 1] = 2 * i if 100 * n >= 80 * all_ else 2 * i + 1
+    assert 40 < sum(d != c for d, c in want.items()) < 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op09_neardup.components(docs, 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want.values())
+    w = [f"v{i}" for i in range(400)]
+    scattered = ["z" if i % 42 == 20 else x for i, x in enumerate(w)]  # 3-word similarity over 85, 5-word under 80
+    cut = scattered[:335]  # near the changed copy only
+    more = spark.createDataFrame([(500, " ".join(w)), (501, " ".join(scattered)), (502, " ".join(cut)), (503, " ".join(w).upper()), (504, None)], "doc_id long, text string")
+    assert sorted(op09_neardup.components(more, 5, 80).where("doc_id <> component_id").select("doc_id", "component_id").collect()) == [(502, 501), (503, 500)]
+    assert sorted(op09_neardup.components(more).where("doc_id <> component_id").select("doc_id", "component_id").collect()) == [(501, 500), (503, 500)]
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, more, "").collect()} == {500, 504}
+    with pytest.raises(ValueError, match="79"):
+        op09_neardup.components(docs, 5, 79)
+
+
+def test_signatures_hold_at_their_threshold():
+    """Links at the very threshold lie beyond the reach in about 1 of 50,000 cases, and no chunk goes below 5 values."""
+    for least, parts, chunks in op09_neardup.SHAPES:
+        by, apart = op09_neardup.law(3, least), (1 - least / 100) * 255 / 256
+        assert by[2:] == (parts, chunks) and np.bincount(by.chunk_of).min() >= 5 and by.reach < 2 * chunks
+        within = sum(math.comb(parts, k) * apart**k * (1 - apart) ** (parts - k) for k in range(by.reach + 1))
+        assert 1 - within < 2e-5
+    assert op09_neardup.OP9.reach == op09_neardup.REACH
+
+
 def test_contract(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (20, 21), (5, 5), (22, 21)], "a long, b long")
     assert {r["v"]: r["c"] for r in contract(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, 22: 20}
