@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.functions import text as t
+
 
 def pair_counts(changes: DataFrame) -> DataFrame:
     """repo, a, b, n for ordered pairs a <> b of files changed together."""
@@ -54,6 +56,23 @@ def best(found: DataFrame, how, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def counterparts(seed: DataFrame, files: DataFrame, weight) -> DataFrame:
+    """repo, issue_id, path, w: the existing tests of the seeds, and the sources of seeds that are tests, that aren't seeds.
+
+    A test ``test_x`` has its source beside it or one folder up, ``x_test`` beside it; a source has its test beside it
+    or in ``tests/``.
+    """
+    at = lambda d, name: F.when(d == "", name).otherwise(F.concat(d, F.lit("/"), name))
+    d, b = t.dirname("path"), t.basename("path")
+    source, test = F.expr("substring(b, 6)"), F.concat(F.lit("test_"), "b")
+    pairs = F.when(F.startswith("b", F.lit("test_")), F.array(at(F.col("d"), source), at(t.dirname("d"), source)))
+    pairs = pairs.when(F.endswith("b", F.lit("_test.py")), F.array(at(F.col("d"), F.expr("concat(left(b, length(b) - 8), '.py')"))))
+    pairs = pairs.otherwise(F.array(at(F.col("d"), test), at(F.col("d"), F.concat(F.lit("tests/"), test))))
+    found = seed.select("repo", "issue_id", d.alias("d"), b.alias("b")).select("repo", "issue_id", F.explode(F.array_distinct(pairs)).alias("path"))
+    found = found.join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select("repo", "issue_id", "path", weight.alias("w"))
+    return found.join(seed.select("repo", "issue_id", "path"), ["repo", "issue_id", "path"], "left_anti")
+
+
 def appended(first: DataFrame, *more: DataFrame) -> DataFrame:
     """Sections put after each other, a file kept where it comes first; ranks anew from 1."""
     parts = [s.select("repo", "issue_id", "path", F.lit(i).alias("section"), "rank") for i, s in enumerate((first, *more))]

@@ -402,12 +402,16 @@ def _expand_graph(s, d):
 
 @query("expand_multi_signal", _TRAIN.rstrip() + _SEED + ", sig AS (SELECT issue_id, path, 'c' AS kind, score AS w FROM ecc UNION ALL SELECT issue_id, path, 'i', 0.6 FROM eim UNION ALL SELECT sd.issue_id, f.path, 'd', 0.25 / n FROM sd JOIN (SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path, count(*) OVER (PARTITION BY repo, regexp_extract(path, '^(.*)/[^/]*$', 1)) AS n FROM files) f ON f.repo = sd.repo AND f.dir = regexp_extract(sd.path, '^(.*)/[^/]*$', 1) WHERE n <= 35 AND NOT EXISTS (SELECT 1 FROM sd z WHERE z.issue_id = sd.issue_id AND z.path = f.path)), agg AS (SELECT issue_id, path, round(sum(w) * CASE WHEN count(DISTINCT kind) >= 3 THEN 1.3 * 1.2 WHEN count(DISTINCT kind) = 2 THEN 1.3 ELSE 1.0 END, 6) AS score FROM sig GROUP BY ALL) SELECT issue_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, path) AS rank FROM agg) WHERE rank <= 35")
 def _multi(s, d):
-    """Co-change, import and directory signals added up; two kinds raise a file by 1.3, three by 1.2 more."""
-    seed = g.seeds(ranked(s, d, "a"), 5)
-    dirs = files(s, d).withColumn("dir", t.dirname("path"))
+    return multi_signal(g.seeds(ranked(s, d, "a"), 5), _cc(s, d), _imp(s, d), files(s, d))
+
+
+def multi_signal(seed, cc, imp, every):
+    """Co-change, import, directory and test/source signals added up; two kinds raise a file by 1.3, three by 1.2 more."""
+    dirs = every.withColumn("dir", t.dirname("path"))
     dirs = dirs.join(dirs.groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("n")).where("n <= 35"), ["repo", "dir"])
     in_dir = seed.select("repo", "issue_id", t.dirname("path").alias("dir")).join(dirs, ["repo", "dir"]).join(seed.select(*KEY, "path"), [*KEY, "path"], "left_anti").select(*KEY, "path", (0.25 / F.col("n")).alias("w"), F.lit("d").alias("kind"))
-    signals = _near(seed, _cc(s, d).where("score >= 0.1")).withColumn("kind", F.lit("c")).unionByName(g.neighbours(seed, _imp(s, d), F.lit(0.6)).withColumn("kind", F.lit("i"))).unionByName(in_dir)
+    signals = _near(seed, cc.where("score >= 0.1")).withColumn("kind", F.lit("c")).unionByName(g.neighbours(seed, imp, F.lit(0.6)).withColumn("kind", F.lit("i"))).unionByName(in_dir)
+    signals = signals.unionByName(g.counterparts(seed, every, F.lit(0.7)).withColumn("kind", F.lit("t")))
     kinds = F.size(F.collect_set("kind"))
     boost = F.when(kinds >= 3, 1.3 * 1.2).when(kinds == 2, 1.3).otherwise(1.0)
     top = g.best(signals, F.sum("w") * boost, 35)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.operators import fusion, graph, metrics, retrieval, stats
+from rankweave.plans.retrieval_queries import multi_signal
 
 RANKED = "repo string, issue_id string, path string, rank int, score double"
 
@@ -80,3 +81,18 @@ def test_bootstrap_reruns_agree(spark):
     v = spark.range(50).select(F.col("id").cast("string").alias("k"), (F.col("id") % 5).cast("double").alias("v"))
     one, two = stats.bootstrap(v, "k", 100).first(), stats.bootstrap(v.repartition(7), "k", 100).first()
     assert one == two and one["mean"] == 2.0 and one["lo"] < 2 < one["hi"]
+
+
+def test_multi_signal_has_tests_and_sources(spark):
+    """Counterparts that exist weigh 0.7, count as a kind, and aren't seeds."""
+    paths = ["p/a.py", "p/tests/test_a.py", "p/test_a.py", "q/tests/test_b.py", "q/b.py", "c_test.py", "c.py", "test_d.py", "d.py", "e.py", "test_e.py"]
+    every = spark.createDataFrame([("r", x) for x in paths], "repo string, path string")
+    seed = spark.createDataFrame([("r", "1", x, i, 0.5) for i, x in enumerate(["p/a.py", "q/tests/test_b.py", "c_test.py", "test_d.py", "d.py"], 1)], "repo string, issue_id string, path string, rank int, score double")
+    found = graph.counterparts(seed, every, F.lit(0.7))
+    assert sorted((r["path"], r["w"]) for r in found.collect()) == [("c.py", 0.7), ("p/test_a.py", 0.7), ("p/tests/test_a.py", 0.7), ("q/b.py", 0.7)]
+    cc = spark.createDataFrame([("r", "p/a.py", "p/tests/test_a.py", 0.5)], "repo string, a string, b string, score double")
+    imp = spark.createDataFrame([("r", "p/a.py", "p/test_a.py")], "repo string, a string, b string")
+    got = {r["path"]: r["score"] for r in multi_signal(seed, cc, imp, every).collect()}
+    assert got["p/tests/test_a.py"] == round((0.5 + 0.7) * 1.3, 6)
+    assert got["p/test_a.py"] == round((0.6 + 0.25 / 2 + 0.7) * 1.3 * 1.2, 6)
+    assert got["q/b.py"] == 0.7
