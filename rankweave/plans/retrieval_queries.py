@@ -102,9 +102,13 @@ _CHUNKS = "SELECT doc_id AS file, doc_id * 1000 + i AS doc, regexp_extract_all(l
 
 @plain("bm25_chunk_max", "WITH " + _bm25_sql("lucene", 1.2, 0.75, _CHUNKS) + ", f AS (SELECT q, doc // 1000 AS file, max(score) AS score FROM bm GROUP BY ALL) SELECT q, file, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, file) AS rank FROM f) WHERE rank <= 10")
 def _chunk_max(s, d):
-    docs, items = _documents(s, d)
-    chunks = docs.select("doc", F.posexplode(t.chunk_words("text")).alias("i", "text")).select((F.col("doc") * 1000 + F.col("i")).alias("doc"), "text")
-    best = r.bm25(r.postings(chunks, t.tok_alnum("text"), []), items, [], ["q"]).groupBy("q", F.floor(F.col("doc") / 1000).alias("file")).agg(F.max("score").alias("score"))
+    return chunk_max(*_documents(s, d))
+
+
+def chunk_max(docs, items):
+    """The ten files with the best chunk; a chunk's id is (file, i), so a file may have any number of them."""
+    chunks = docs.select("doc", F.posexplode(t.chunk_words("text")).alias("i", "text")).select(F.struct(F.col("doc").alias("file"), "i").alias("doc"), "text")
+    best = r.bm25(r.postings(chunks, t.tok_alnum("text"), []), items, [], ["q"]).groupBy("q", F.col("doc.file").alias("file")).agg(F.max("score").alias("score"))
     return r.topk(best, ["q"], 10, tie="file").select("q", "file", "score")
 
 

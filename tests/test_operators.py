@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.functions import text
 from rankweave.operators import fusion, graph, metrics, retrieval, stats
-from rankweave.plans.retrieval_queries import multi_signal
+from rankweave.plans.retrieval_queries import chunk_max, multi_signal
 
 RANKED = "repo string, issue_id string, path string, rank int, score double"
 
@@ -96,3 +97,10 @@ def test_multi_signal_has_tests_and_sources(spark):
     assert got["p/tests/test_a.py"] == round((0.5 + 0.7) * 1.3, 6)
     assert got["p/test_a.py"] == round((0.6 + 0.25 / 2 + 0.7) * 1.3 * 1.2, 6)
     assert got["q/b.py"] == 0.7
+
+
+def test_chunks_past_a_thousand_stay_with_their_file(spark, monkeypatch):
+    monkeypatch.setattr(text, "chunk_words", lambda c: F.split(c, ","))  # chunks of one word
+    docs = spark.createDataFrame([(1, "a," * 1001 + "needle"), (2, "b")], "doc long, text string")
+    items = spark.createDataFrame([(7, ["needle"])], "q long, tokens array<string>")
+    assert [(x["q"], x["file"]) for x in chunk_max(docs, items).collect()] == [(7, 1)]
