@@ -30,13 +30,13 @@ def odds(x: np.ndarray, first: np.ndarray, a: np.ndarray, start: float) -> tuple
 
 def marginals(x: np.ndarray, first: np.ndarray, a: np.ndarray, start: float) -> np.ndarray:
     """P(state 1) of each token."""
-    ahead, behind = odds(x, first, a, start)
-    return ahead * behind / (1 + ahead * behind)
+    both = np.multiply(*odds(x, first, a, start))
+    return both / (1 + both)
 
 
-def pair_counts(x: np.ndarray, first: np.ndarray, a: np.ndarray, start: float) -> np.ndarray:
-    """Expected numbers of the four transitions inside rows."""
-    ahead, behind = odds(x, first, a, start)
+def pair_counts(x: np.ndarray, first: np.ndarray, a: np.ndarray, start: float, known: tuple | None = None) -> np.ndarray:
+    """Expected numbers of the four transitions inside rows. known: the odds, where they are at hand."""
+    ahead, behind = known or odds(x, first, a, start)
     r, b = ahead[:-1], x[1:] * behind[1:]
     each = np.array([np.full(len(r), a[0, 0]), a[0, 1] * b, a[1, 0] * r, a[1, 1] * r * b])[:, ~first[1:]]
     return (each / each.sum(0)).sum(1).reshape(2, 2)

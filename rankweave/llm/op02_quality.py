@@ -6,7 +6,7 @@ softmax-weighted sum is scored by a logistic unit. Document labels alone train a
 
 Defined cases: null and empty texts are one passage without words and get the score that the model gives
 it; without labels of both kinds every score is 0.5; repeated rows are scored alike; very long texts are
-scored whole (training leaves texts of over TRAIN_BYTES out).
+scored whole, and learned from in TRAIN_PASSAGES drawn passages; an input column named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .labelled import held_out, sample
-from .shared import table
+from .labelled import drawn, held_out, sample
+from .shared import quoted, table, with_fields
 
 PASSAGE = 64
 CLASSES, BINS = 20, 24
-#: The training sample: so many documents of each label at most, of so many bytes at most.
-TRAIN_EACH, TRAIN_BYTES = 2500, 60_000
+#: The training sample: so many documents of each label at most, and so many passages of each of them at most.
+TRAIN_EACH, TRAIN_PASSAGES = 2500, 160
 KEEP_FROM = 0.7
 
 _CLASS = np.full(256, 19, np.int64)
@@ -129,18 +129,21 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, hidden: int = 24, gates
     return model
 
 
+def passages(column, orders: list[int]) -> list[bytes]:
+    """The vectors of each text's passages, or of TRAIN_PASSAGES drawn ones of a longer text."""
+    out = []
+    for lo, hi, data, offsets in textkit.slices(column):
+        x, begin = encode(data, offsets)
+        for r in range(hi - lo):
+            own = x[begin[r] : begin[r + 1]]
+            out.append(own[drawn(len(own), TRAIN_PASSAGES, orders[lo + r])].tobytes())
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from a bounded sample of the labels that aren't held out."""
 
-    def passages(batches):
-        for b in batches:
-            for lo, hi, data, offsets in textkit.slices(b.column("text")):
-                x, begin = encode(data, offsets)
-                for r in range(hi - lo):
-                    yield pa.RecordBatch.from_pydict({"label": [b.column("label")[lo + r].as_py()], "_order": [b.column("_order")[lo + r].as_py()], "x": [x[begin[r] : begin[r + 1]].tobytes()]}, schema=pa.schema([("label", pa.int32()), ("_order", pa.int64()), ("x", pa.binary())]))
-
-    rows = sample(docs, labels, "quality", ~held_out(4, 2), TRAIN_EACH, TRAIN_BYTES).mapInArrow(passages, "label int, _order long, x binary").collect()
-    rows.sort(key=lambda r: (r["_order"], r["label"], bytes(r["x"])))
+    rows = sample(docs, labels, "quality", ~held_out(4, 2), TRAIN_EACH, passages)
     if not rows:
         return None
     width = CLASSES + 8 + BINS
@@ -158,15 +161,15 @@ def scores(model: dict | None, column) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with ``score`` in place of ``text``."""
-    kept = [c for c in docs.columns if c != "text"]
+    """docs with ``score`` in place of ``text`` (and of a column of that name)."""
+    kept = [c for c in docs.columns if c.lower() not in ("text", "score")]
 
     def scored(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores(model, b.column("text")))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores(model, b.column(len(kept))))], names=[*kept, "score"])
 
-    types = dict(docs.dtypes)
-    return docs.mapInArrow(scored, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "score double"]))
+    rows = docs.select(*(quoted(c) for c in kept), "text")
+    return rows.mapInArrow(scored, with_fields(rows.drop("text"), "score double"))
 
 
 def accepted(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -1,15 +1,16 @@
 """Toxicity: a two-state linear-chain conditional random field over words, scored by forward-backward marginals.
 
 Labelled tokens come from labelled documents: words and affixes that stand in toxic documents too often for
-chance, and in hardly any clean one, mark their tokens. The field learns from those marks
-with hashed features of each token (whole word, prefixes, suffixes, shape, neighbours' words through the
-transitions), so it also tags words that it never saw but that are built alike. Per-token marginals give the
-offending spans; their largest and their sum give the document's score by a logistic layer learned from the
-document labels.
-
-Defined cases: null and empty texts have no tokens and get the score of a document without evidence;
-without toxic training documents every score is 0; repeated rows are scored alike; very long texts are
-tagged whole (training leaves texts of over TRAIN_BYTES out).
+chance, and in few clean ones, mark their tokens; near copies vote as one. The field learns emissions,
+transitions and start from those marks by the gradient of its likelihood, with hashed features of each token
+(whole word, prefixes, suffixes, shape), so it also tags words that it never saw but that are built alike.
+Per-token marginals give the offending spans; their largest, their sum and their share give the document's
+score by a logistic layer with slopes of 0 or more, learned from the document labels.
+
+Defined cases: null and empty texts have no tokens and get the score of a document without evidence, which is
+below 0.5 for any model; without toxic training documents every score is 0; repeated rows are scored alike
+(and learned from once); very long texts are tagged whole, and learned from in TRAIN_PIECES drawn runs; an
+input column named ``score`` or ``spans`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,24 +20,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textkit
-from .chain import marginals
-from .labelled import held_out, sample
-from .shared import table
+from . import op09_neardup, textkit
+from .chain import marginals, odds, pair_counts
+from .labelled import drawn, held_out, sample
+from .shared import quoted, table, with_fields
 
-#: The training sample: so many documents of each label at most, of so many bytes at most.
-TRAIN_EACH, TRAIN_BYTES = 1200, 8_000
+#: The training sample: so many documents of each label at most; of a longer one so many runs of so many words (and bytes at most).
+TRAIN_EACH, TRAIN_PIECES, PIECE, PIECE_BYTES = 1200, 4, 512, 1 << 15
 #: A word or affix is toxic if so many toxic documents have it, and at most this share as many of the clean ones, by rates.
-SUPPORT, CLEAN_SHARE = 4, 0.02
+SUPPORT, CLEAN_SHARE = 4, 0.1
 BUCKETS = 1 << 18
 TOXIC_FROM, SPAN_FROM = 0.5, 0.5
+#: The least marginal, and share of toxic tokens, that counts as evidence.
+FLOOR = 1e-3
+#: The most that the log odds of a document without evidence can be.
+BLANK = -0.5
+#: Runs of a minwise signature, one of which two near copies share; the weight that holds transitions near 1.
+BANDS, TIGHT = 16, 10.0
 
 _HASH = textkit.Hasher(404, lower=True)
-PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (3, 4, 5)
+#: Kinds of features that rounds of training use in turn: all, then affixes and shape, so that affixes learn to do
+#: without the words, and prefixes and suffixes without each other.
+_P, _S, _SHAPE = list(range(1, 1 + len(PREFIXES))), list(range(1 + len(PREFIXES), 1 + len(PREFIXES) + len(SUFFIXES))), [1 + len(PREFIXES) + len(SUFFIXES)]
+VIEWS = ([0, *_P, *_S, *_SHAPE], [*_P, *_SHAPE], [*_P, *_S, *_SHAPE], [*_P, *_SHAPE], [0, *_S, *_SHAPE])
+#: The feature of what isn't there; its weight stays 0.
+NONE = textkit.U64(0)
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashed features of each token, one row a kind: word, prefixes, suffixes, shape. Affixes stop at the word's ends."""
+    """Hashed features of each token, one row a kind: word, prefixes, suffixes, shape. An affix not shorter than its word is NONE."""
     kinds = [(starts, ends)]
     kinds += [(starts, np.minimum(starts + k, ends)) for k in PREFIXES]
     kinds += [(np.maximum(ends - k, starts), ends) for k in SUFFIXES]
@@ -44,6 +57,8 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     np.cumsum(_HASH.values[data] * _HASH.powers(pow(_HASH.base, -1, 2**64), len(data)), out=sums[1:])
     powers = _HASH.powers(_HASH.base, len(data) + 1)
     rows = [textkit.mix((sums[e] - sums[s]) * powers[s] + textkit.U64(no)) for no, (s, e) in enumerate(kinds)]
+    for no, k in enumerate((*PREFIXES, *SUFFIXES), 1):
+        rows[no][ends - starts <= k] = NONE
     length = np.minimum(ends - starts, 15)
     upper = (data[starts] >= 0x41) & (data[starts] <= 0x5A)
     rows.append(textkit.mix((length * 2 + upper).astype(np.uint64) + textkit.U64(1 << 40)))
@@ -59,107 +74,182 @@ def tagged(model: dict, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
 
 
 def evidence(p: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each row: the log odds of its largest marginal, and the log of the expected number of toxic tokens."""
-    padded = np.append(np.clip(p, 1e-9, 1 - 1e-9), 1e-9)
-    at, none = np.minimum(begin[:-1], len(p)), np.diff(begin) == 0
-    top, total = np.maximum.reduceat(padded, at), np.add.reduceat(np.where(padded > 0.01, padded, 0), at)
-    top, total = np.where(none, 1e-9, top), np.where(none, 0.0, total)
-    return np.array([np.log(top / (1 - top)), np.log1p(total)]).T
+    """For each row: the log odds of its largest marginal, the log of the expected number of toxic tokens, and of their share.
+
+    All three are above a floor, which a row without tokens has: there they are 0.
+    """
+    clipped = np.clip(p, 1e-9, 1 - 1e-9)
+    padded, counted = np.append(clipped, 0.0), np.append(np.where(clipped > 0.05, clipped, 0.0), 0.0)
+    n = np.diff(begin)
+    at, none = np.minimum(begin[:-1], len(p)), n == 0
+    top = np.where(none, 0.0, np.maximum.reduceat(padded, at))
+    total = np.where(none, 0.0, np.add.reduceat(counted, at))
+    top = np.clip(top, FLOOR, 1 - FLOOR)
+    least = np.log(FLOOR / (1 - FLOOR))
+    return np.array([np.log(top / (1 - top)) - least, np.log1p(total), np.log1p(total / np.maximum(n, 1) / FLOOR)]).T
 
 
-def _mark(texts: list[str], y: np.ndarray) -> tuple:
-    """Tokens of the training documents, and which of them are toxic.
+def _groups(texts: pa.Array) -> np.ndarray:
+    """For each training document the first one of its group of near copies, which vote together.
 
-    A word or affix marks its tokens if it is in too many toxic documents for chance (a Chernoff bound on its split
-    between toxic and clean documents, against the number of candidates) and in hardly any clean ones.
+    Near copies share one of BANDS runs of their minwise signatures; documents of under three words are alike as a whole.
     """
-    data, offsets = textkit.flat(pa.array(texts, pa.large_string()))
-    starts, ends, begin = textkit.spans(data, offsets, textkit.ALNUM)
-    f = features(data, starts, ends)
-    doc = np.repeat(np.arange(len(texts)), np.diff(begin))
-    # near copies would vote together: of documents with the same smallest word hashes one counts
-    sketch: dict[tuple, int] = {}
-    for d in range(len(texts)):
-        sketch.setdefault((int(y[d]), *np.unique(f[0, begin[d] : begin[d + 1]])[:2].tolist()), d)
-    votes = np.zeros(len(texts), bool)
-    votes[list(sketch.values())] = True
-    toxic, clean = (y == 1) & votes, (y != 1) & votes
-    rate = (toxic.sum() + 0.5) / (votes.sum() + 1)
-    found, tried = [], 0
-    usable = [(ends - starts) >= max(k, 3) for k in (0, *PREFIXES, *SUFFIXES)]
-    for no, ok in enumerate(usable):
-        at = np.flatnonzero(ok & votes[doc])
-        at = at[np.lexsort((doc[at], f[no][at]))]
-        if not len(at):
-            continue
-        value, of = f[no][at], doc[at]
-        new = np.append(True, value[1:] != value[:-1])
-        once = np.append(True, new[1:] | (of[1:] != of[:-1]))  # one vote a document
-        group = np.cumsum(new) - 1
-        t = np.bincount(group, once & toxic[of])
-        c = np.bincount(group, once & clean[of])
-        tried += int((t + c >= SUPPORT).sum())
-        found.append((no, value[new], t, c))
-    mark = np.zeros(len(starts), bool)
-    for no, value, t, c in found:
-        share = np.clip(t / np.maximum(t + c, 1), 1e-12, 1)
-        bound = (t + c) * (share * np.log(share / rate) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - rate)))
-        odds = c / max(clean.sum(), 1) / np.maximum(t / max(toxic.sum(), 1), 1e-12)
-        good = (t >= SUPPORT) & (odds <= CLEAN_SHARE) & (bound > np.log(max(tried, 1)))
-        mark |= usable[no] & np.isin(f[no], value[good])
-    return data, starts, ends, begin, f, mark & (y[doc] == 1)
-
-
-def fit(texts: list[str], y: np.ndarray, rounds: int = 30, rate: float = 0.5, decay: float = 1e-6) -> dict | None:
-    """Train the field by gradient steps on the log likelihood of the marked tokens, then the logistic layer.
-
-    Transitions are set by the marks' counts; emissions are learned. Tokens of one form share their features, so the
-    gradient is summed by form first.
+    own = np.arange(len(texts))
+
+    def root(i: int) -> int:
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    seen: dict[tuple[int, bytes], int] = {}
+    for lo, _, data, offsets in textkit.slices(texts):
+        grams, begin = op09_neardup.sets(data, offsets)
+        full = np.flatnonzero(np.diff(begin) > 0)
+        for i, signature in zip((full + lo).tolist(), op09_neardup.sign(grams, begin), strict=True):
+            for k, band in enumerate(signature.reshape(BANDS, -1)):
+                x, y = sorted((root(i), root(seen.setdefault((k, band.tobytes()), i))))
+                own[y] = x
+    return np.array([root(i) for i in range(len(texts))])
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+class _Sample:
+    """The words of the training documents by form (a word in one spelling of its initial), and which tokens are toxic.
+
+    A word or affix marks its tokens in toxic documents if it is in too many toxic groups of documents for chance (a
+    Chernoff bound on its split between toxic and clean ones, against the number of candidates) and in few clean ones.
+    """
+
+    def __init__(self, texts: list, y: np.ndarray):
+        column = pa.array(texts, pa.large_binary())
+        keys, forms, kinds, lengths, counts, base = [np.zeros(0, textkit.U64)], [], [], [], [np.zeros(0, np.int64)], 0
+        for _, _, data, offsets in textkit.slices(column):
+            starts, ends, begin = textkit.spans(data, offsets, textkit.ALNUM)
+            upper = (data[starts] >= 0x41) & (data[starts] <= 0x5A)
+            key, one, form = np.unique(_HASH.words(data, starts, ends) ^ upper, return_index=True, return_inverse=True)
+            keys.append(key)
+            forms.append(form + base)
+            kinds.append(features(data, starts[one], ends[one]))
+            lengths.append((ends - starts)[one])
+            counts.append(np.diff(begin))
+            base += len(key)
+        _, one, form = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.form = form[np.concatenate(forms)]
+        self.features = np.concatenate(kinds, axis=1)[:, one]
+        length, counts = np.concatenate(lengths)[one], np.concatenate(counts)
+        self.begin = np.append(0, np.cumsum(counts))
+        doc = np.repeat(np.arange(len(texts)), counts)
+        self.first = np.zeros(len(doc) + 1, bool)
+        self.first[self.begin[:-1]] = True
+        self.first = self.first[:-1]
+        # each form once a group of near copies and label
+        label = (y == 1).astype(np.int64)
+        _, group = np.unique(_groups(column) * 2 + label, return_inverse=True)
+        toxic = np.zeros(group.max() + 1, np.int64)
+        toxic[group] = label
+        pairs = _once(self.form.astype(np.int64) * len(toxic) + group[doc])
+        form, of = pairs // len(toxic), pairs % len(toxic)
+        n = np.array([(toxic == 0).sum(), toxic.sum()])
+        found, tried = [], 0
+        for no, k in enumerate((0, *PREFIXES, *SUFFIXES)):
+            usable = length > max(k, 2)
+            at = np.flatnonzero(usable[form])
+            value, inverse = np.unique(self.features[no], return_inverse=True)
+            both = _once(inverse[form[at]].astype(np.int64) * len(toxic) + of[at])
+            votes = np.bincount(both // len(toxic) * 2 + toxic[both % len(toxic)], minlength=2 * len(value)).reshape(-1, 2)
+            tried += int((votes.sum(1) >= SUPPORT).sum())
+            found.append((usable, inverse, votes))
+        mark = np.zeros(len(one), bool)
+        rate = (n[1] + 0.5) / (n.sum() + 1)
+        for usable, inverse, votes in found:
+            c, t = votes.T
+            share = np.clip(t / np.maximum(t + c, 1), 1e-12, 1)
+            bound = (t + c) * (share * np.log(share / rate) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - rate)))
+            odds = c / max(n[0], 1) / np.maximum(t / max(n[1], 1), 1e-12)
+            mark |= usable & ((t >= SUPPORT) & (odds <= CLEAN_SHARE) & (bound > np.log(max(tried, 1))) & (share > rate))[inverse]
+        self.mark = mark[self.form] & (label[doc] == 1)
+
+
+def fit(texts: list, y: np.ndarray, rounds: int = 30, rate: float = 0.5, decay: float = 1e-6) -> dict | None:
+    """Train the field by gradient steps on the likelihood of the marked tokens, then the logistic layer.
+
+    Emissions, transitions and the start are all learned. Tokens of one form share their features, so the gradient is
+    summed by form first.
     """
     if not (y == 1).any():
         return None
-    data, starts, ends, begin, f, mark = _mark(texts, y)
-    _, one, form = np.unique(f[0] ^ f[-1], return_index=True, return_inverse=True)
-    at = (f[:, one] & textkit.U64(BUCKETS - 1)).astype(np.int64)
-    first = np.zeros(len(starts) + 1, bool)
-    first[begin[:-1]] = True
-    first = first[:-1]
-    m, inner = mark.astype(float), ~first[1:]
-    pairs = np.bincount((mark[:-1] * 2 + mark[1:])[inner], minlength=4).reshape(2, 2) + 1.0
-    base = pairs.sum(0) / pairs.sum()
-    a = np.exp(np.clip(np.log(pairs / pairs.sum(1, keepdims=True) / base), -4, 4))  # freed of the rate, which the bias holds
-    start = (m[first].sum() + 1) / ((1 - m[first]).sum() + 1) / (base[1] / base[0])
-    bias, w, grow = np.log(base[1] / base[0]), np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
-    weight = np.where(mark, np.sqrt(base[0] / base[1]), 1.0)
-    for _ in range(rounds):
-        emission = w[at].sum(0)[form]
-        step = np.bincount(form, (m - marginals(np.exp(np.clip(emission + bias, -30, 30)), first, a, start)) * weight, len(one))
+    own = _Sample(texts, y)
+    at = (own.features & textkit.U64(BUCKETS - 1)).astype(np.int64)
+    first, m = own.first, own.mark.astype(float)
+    seen = np.bincount((own.mark[:-1] * 2 + own.mark[1:])[~first[1:]], minlength=4).reshape(2, 2)
+    base = (m.sum() + 1) / (len(m) + 2)
+    bias, w, grow = np.log(base / (1 - base)) / 2, np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
+    log_a, grow_a, start, grow_s = np.zeros((2, 2)), np.ones((2, 2)), 0.0, 1.0
+    for turn in range(rounds if len(m) else 0):
+        use = at[VIEWS[turn % len(VIEWS)]]
+        x, a, s = np.exp(np.clip(w[use].sum(0)[own.form] + bias, -30, 30)), np.exp(log_a), float(np.exp(start))
+        known = odds(x, first, a, s)
+        both = known[0] * known[1]
+        error = m - both / (1 + both)
+        step = np.bincount(own.form, error, at.shape[1])
         g = -decay * len(m) * w
-        for row in at:
+        for row in use:
             g += np.bincount(row, step, BUCKETS)
-        grow += g * g
-        w += rate * g / np.sqrt(grow)
-    model = {"w": w.astype(np.float32), "bias": bias, "a": a, "start": start}
-    return model | {"layer": _logistic(evidence(tagged(model, data, starts, ends, begin), begin), y)}
+        g[int(NONE)] = 0
+        ga = seen - pair_counts(x, first, a, s, known) - TIGHT * log_a
+        gs = error[first].sum() - TIGHT * start
+        grow, grow_a, grow_s = grow + g * g, grow_a + ga * ga, grow_s + gs * gs
+        w, log_a, start = w + rate * g / np.sqrt(grow), log_a + rate * ga / np.sqrt(grow_a), start + rate * gs / np.sqrt(grow_s)
+    model = {"w": w.astype(np.float32), "bias": bias, "a": np.exp(log_a), "start": float(np.exp(start))}
+    x = np.exp(np.clip(model["w"][at].sum(0)[own.form] + bias, -30, 30))
+    e = evidence(marginals(x, first, model["a"], model["start"]), own.begin)
+    return model | {"layer": _logistic(e, y)}
 
 
 def _logistic(e: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton steps, classes weighted alike."""
+    """Ridge-penalised logistic regression by Newton steps.
+
+    Slopes are 0 or more, so more toxicity never lowers a score; the intercept is at most BLANK, so no evidence is clean.
+    """
     x = np.hstack([e, np.ones((len(e), 1))])
-    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
-    b = np.zeros(3)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.1, 0.1, 0.01])
-        b += np.linalg.solve(h, x.T @ (weight * (y - p)) - np.array([0.1, 0.1, 0.01]) * b)
-    return b
+    free = [True] * (x.shape[1] - 1)
+    while True:
+        use = np.append(np.flatnonzero(free), x.shape[1] - 1)
+        z, ridge, b = x[:, use], np.append(np.full(sum(free), 0.1), 0.01), np.zeros(len(use))
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
+            b += np.clip(np.linalg.solve(h, z.T @ (y - p) - ridge * b), -2, 2)
+        low = int(np.argmin(b[:-1])) if len(b) > 1 else 0
+        if len(b) == 1 or b[low] >= 0:
+            out = np.zeros(x.shape[1])
+            out[use] = b
+            out[-1] = min(out[-1], BLANK)
+            return out
+        free[use[low]] = False
+
+
+def pieces(column, orders: list[int]) -> list[bytes]:
+    """Each text, or TRAIN_PIECES drawn runs of PIECE words of a longer one."""
+    out = []
+    for lo, hi, data, offsets in textkit.slices(column):
+        starts, ends, begin = textkit.spans(data, offsets, textkit.ALNUM)
+        for r in range(hi - lo):
+            n = int(begin[r + 1] - begin[r])
+            runs = drawn(-(-n // PIECE), TRAIN_PIECES, orders[lo + r])
+            cut = [data[starts[begin[r] + k * PIECE] : ends[begin[r] + min((k + 1) * PIECE, n) - 1]][:PIECE_BYTES].tobytes() for k in runs.tolist()]
+            out.append(b" ".join(cut))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from a bounded sample of the labels that aren't held out."""
-    rows = sample(docs, labels, "toxic", ~held_out(5, 0), TRAIN_EACH, TRAIN_BYTES).collect()
-    rows.sort(key=lambda r: (r["_order"], r["label"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows]))
+    rows = sample(docs, labels, "toxic", ~held_out(5, 0), TRAIN_EACH, pieces)
+    return fit([bytes(r["x"]) for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 
 def _scored(model: dict | None, column) -> tuple[np.ndarray, list[list[dict]]]:
@@ -187,16 +277,16 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", p
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with ``score`` and ``spans`` in place of ``text``."""
-    kept = [c for c in docs.columns if c != "text"]
+    """docs with ``score`` and ``spans`` in place of ``text`` (and of columns of these names)."""
+    kept = [c for c in docs.columns if c.lower() not in ("text", "score", "spans")]
 
     def scored(batches):
         for b in batches:
-            s, spans = _scored(model, b.column("text"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(s), pa.array(spans, _SPANS)], names=[*kept, "score", "spans"])
+            s, spans = _scored(model, b.column(len(kept)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array(spans, _SPANS)], names=[*kept, "score", "spans"])
 
-    types = dict(docs.dtypes)
-    return docs.mapInArrow(scored, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "score double", f"spans {SPANS}"]))
+    rows = docs.select(*(quoted(c) for c in kept), "text")
+    return rows.mapInArrow(scored, with_fields(rows.drop("text"), f"score double, spans {SPANS}"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

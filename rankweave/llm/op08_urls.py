@@ -8,21 +8,26 @@ level that doesn't hold it is an even one (counting from one; past the last leve
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; repeated
 pages are judged alike; a key that is both allowed and blocked is blocked; no rules or no pages give no
-filter levels. A cascade whose bits would pass MAX_BITS isn't built; membership is then joined instead.
+filter levels; an input column named ``host``, ``path``, ``rule`` or ``verdict`` is replaced.
+
+Keys are dealt to parts by a hash, as many as keep a level's bits within MAX_BITS, and each part has cascades of its
+own. Pages stream by the parts one after another, and each part answers the keys that are its own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stash, table
+from .shared import packed, stash, table, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY, PROBES = 8, 4
-#: 32 MB: what one level of a cascade may take in every executor.
+#: 32 MB: about what one level of a part's cascade takes in every executor.
 MAX_BITS = 1 << 28
 RULES = [
     ("allow", "com", "/"),
@@ -35,7 +40,7 @@ RULES = [
 
 def parsed(pages: DataFrame) -> DataFrame:
     """pages with host and path."""
-    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
+    rest = F.when(F.instr("url", "://") > 0, F.substr("url", F.instr("url", "://") + 3))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
@@ -95,13 +100,11 @@ def _encode(keys: DataFrame, n: int, no: int) -> np.ndarray:
     return out
 
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[np.ndarray] | None:
-    """The levels for these listed keys, exact on the universe (both: column ``key``); None past MAX_BITS."""
+def cascade(universe: DataFrame, listed: DataFrame) -> list[np.ndarray]:
+    """The levels for these listed keys, exact on the universe (both: column ``key``)."""
     good, bad = _hashed(listed.distinct()), _hashed(universe.join(listed, "key", "left_anti"))
     levels: list[np.ndarray] = []
     while n := good.count():
-        if n * BITS_PER_KEY > MAX_BITS:
-            return None
         levels.append(level := _encode(good, n, no := len(levels)))
 
         def wrong(batches, level=level, no=no):
@@ -112,45 +115,47 @@ def cascade(universe: DataFrame, listed: DataFrame) -> list[np.ndarray] | None:
     return levels
 
 
+def _answers(part: int, parts: int, levels: dict[str, list[np.ndarray]]):
+    """Adds, to the last two columns, which of a page's keys this part's cascades list to block and to allow."""
+
+    def answered(batches):
+        for b in batches:
+            lengths = b.column("keys").value_lengths()
+            h1, h2 = (b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
+            mine = np.flatnonzero(h1 % np.uint64(parts) == part)
+            offsets = np.append(0, np.cumsum(lengths.to_numpy(zero_copy_only=False))).astype(np.int32)
+            out = []
+            for v in ("block", "allow"):
+                held = b.column(v).flatten().to_numpy(zero_copy_only=False).astype(bool)
+                held[mine] = _listed(levels[v], h1[mine], h2[mine])
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(held)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *out], names=b.schema.names)
+
+    return answered
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """pages with host, path, rule (null if none fits) and verdict. rules: (allow or block, host, path)."""
     spark = pages.sparkSession
+    columns = pages.columns
     keys, ordered = asked(rules)
-    pages = parsed(pages).withColumn("_keys", keys).withColumn("_keys", ordered)
-    universe = stash(pages.select(F.explode("_keys").alias("key")).distinct(), "universe")
-    lists = {v: spark.createDataFrame([(h + p,) for a, h, p in rules if a == v], "key string") for v in ("block", "allow")}
-    levels = {v: cascade(universe, keys) for v, keys in lists.items()}
-    if None in levels.values():
-        return _joined(pages, lists)
-
-    def first_listed(batches):
-        for b in batches:
-            keys = b.column("_keys")
-            lengths = np.diff(keys.offsets.to_numpy())
-            h1, h2 = (b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in ("_h1", "_h2"))
-            block, allow = (_listed(levels[v], h1, h2) for v in ("block", "allow"))
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            hit = np.flatnonzero(block | allow)
-            rows, first = np.unique(row[hit], return_index=True)
-            at = np.full(len(lengths), -1)
-            at[rows] = hit[first]
-            none = at < 0
-            rule = keys.flatten().take(pa.array(at, mask=none))
-            verdict = pa.array(np.where(~none & block[at], "block", "allow") if len(block) else np.full(len(lengths), "allow"))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] not in ("_keys", "_h1", "_h2")), rule, verdict], names=[n for n in b.schema.names if n not in ("_keys", "_h1", "_h2")] + ["rule", "verdict"])
-
-    hashed = pages.withColumn("_h1", F.transform("_keys", lambda k: F.xxhash64(k))).withColumn("_h2", F.transform("_keys", lambda k: F.xxhash64(F.lit(7), k)))
-    kept = ", ".join(f"`{n}` {t}" for n, t in pages.dtypes if n != "_keys")
-    return hashed.mapInArrow(first_listed, f"{kept}, rule string, verdict string")
-
-
-def _joined(pages: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """The same verdicts by a join of asked keys, where a filter would be too large to hand to every executor."""
-    rules = lists["block"].withColumn("verdict", F.lit("block")).unionByName(lists["allow"].join(lists["block"], "key", "left_anti").withColumn("verdict", F.lit("allow"))).distinct()
-    asking = pages.select(F.explode("_keys").alias("key"), F.col("_keys").alias("_of")).distinct()
-    best = asking.join(rules, "key").groupBy("_of").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), F.col("key"))).alias("_best"))
-    out = pages.join(best, F.col("_keys") == F.col("_of"), "left")
-    return out.select(*(c for c in pages.columns if c != "_keys"), F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
+    asking = parsed(packed(pages).select("row", F.col("row").getField("url").alias("url"))).withColumn("_keys", keys).select("row", "host", "path", ordered.alias("keys"))
+    universe = stash(asking.select(F.explode("keys").alias("key")).distinct(), "universe")
+    part_of = lambda p, n: F.expr(f"CAST(conv(hex(xxhash64(key)), 16, 10) AS DECIMAL(20, 0)) % {n} = {p}") if n > 1 else F.lit(True)
+    lists = {v: spark.createDataFrame([(h + p,) for a, h, p in rules if a == v], "key string").distinct() for v in ("block", "allow")}
+    # the second level holds false positives of the first: a small share of the universe
+    parts = max(1, math.ceil(max(len(rules), universe.count() // 16) * BITS_PER_KEY / MAX_BITS))
+    no = F.transform("keys", lambda k: F.lit(False))
+    asking = asking.select("row", "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("h1"), F.transform("keys", lambda k: F.xxhash64(F.lit(7), k)).alias("h2"), no.alias("block"), no.alias("allow"))
+    schema = asking.schema
+    for part in range(parts):
+        own = universe.where(part_of(part, parts))
+        levels = {v: cascade(own, k.where(part_of(part, parts))) for v, k in lists.items()}
+        asking = asking.mapInArrow(_answers(part, parts, levels), schema)
+    hits = F.filter(F.arrays_zip("keys", "block", "allow"), lambda x: x["block"] | x["allow"])
+    asking = asking.withColumn("hit", F.try_element_at(hits, F.lit(1)))
+    verdict = F.when(F.col("hit.block"), F.lit("block")).otherwise(F.lit("allow"))
+    return unpacked(asking, columns, "host", "path", F.col("hit.keys").alias("rule"), verdict.alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

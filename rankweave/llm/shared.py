@@ -9,17 +9,23 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side with at most so many rows may be broadcast; it is counted first, and a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine (tests) uses a temporary folder; on a cluster that is an error, as
+    other machines couldn't read it.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = os.path.join(tempfile.gettempdir(), f"rankweave-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
@@ -53,3 +59,25 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(name: str):
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df and then these columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def packed(df: DataFrame, name: str = "row") -> DataFrame:
+    """All columns of df in one struct column, so that no name of theirs meets one that is added."""
+    return df.select(F.struct(*(quoted(c) for c in df.columns)).alias(name))
+
+
+def unpacked(df: DataFrame, columns: list[str], *added, name: str = "row") -> DataFrame:
+    """The columns that ``packed`` put away, then the added ones, which replace columns of their names."""
+    new = df.select(*added).columns if added else []
+    taken = {c.lower() for c in new}
+    return df.select(*(F.col(name).getField(c).alias(c) for c in columns if c.lower() not in taken), *added)
