@@ -10,7 +10,8 @@ Items are taken in blocks of about BLOCK_BYTES, so what every task holds is boun
 are; block after block adds its hits to the rows that stream by.
 
 Defined cases: null and empty texts have no words and no hits; items without words or without an id are
-ignored; repeated items and documents are allowed; no items leave every document clean.
+ignored; repeated items count once and repeated documents are judged alike; no items leave every document clean;
+input columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import table
+from .shared import packed, table, unpacked
 
 WINDOW, SHINGLE = 13, 5
 BLOCK_BYTES = 8 << 20
@@ -148,18 +149,18 @@ def _count(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
 
 def _blocks(items: DataFrame, column: str):
     """Lists of (id, text) rows of about BLOCK_BYTES each, item ids as text."""
-    items = items.where(F.col(column).isNotNull() & F.col("text").isNotNull()).select(F.col(column).cast("string").alias("id"), "text")
+    items = items.where(F.col(column).isNotNull() & F.col("text").isNotNull()).select(F.col(column).cast("string").alias("id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for i in range(n):
         yield items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()
 
 
-def contamination(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -> DataFrame:
-    """docs, all columns, with ``_n`` (words), ``_runs`` (hit words as start, end, start, end, ...) and ``_items``."""
+def _searched(docs: DataFrame, items: DataFrame, item_id: str) -> DataFrame:
+    """``row`` (docs' columns but text), text, ``_n``, ``_runs`` and ``_items``."""
     spark = docs.sparkSession
-    schema = f"{_ddl(docs)}, _n long, _runs array<long>, _items array<string>"
-    out = docs.withColumns({"_n": F.lit(0).cast("long"), "_runs": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+    out = packed(docs, "text").select("row", "text", F.lit(0).cast("long").alias("_n"), F.array().cast("array<long>").alias("_runs"), F.array().cast("array<string>").alias("_items"))
+    schema = out.schema
     for rows in _blocks(items, item_id):
         block = Block(rows)
         block.choose(_count(docs, block) if block.words else {})
@@ -174,6 +175,11 @@ def contamination(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -
     return out
 
 
+def contamination(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -> DataFrame:
+    """docs, all columns, with ``_n`` (words), ``_runs`` (hit words as start, end, start, end, ...) and ``_items``, which replace columns of these names."""
+    return unpacked(_searched(docs, items, item_id), docs.columns, "_n", "_runs", "_items", apart=("text",))
+
+
 def _add(b: pa.RecordBatch, block: Block) -> pa.RecordBatch:
     runs, items = b.column("_runs").to_pylist(), b.column("_items").to_pylist()
     n = np.zeros(b.num_rows, np.int64)
@@ -189,12 +195,7 @@ def _add(b: pa.RecordBatch, block: Block) -> pa.RecordBatch:
             s = p[own] - begin[r]
             runs[lo + r] = _merged(runs[lo + r] + np.array([s, s + block.lengths[no[own]]]).T.reshape(-1).tolist())
             items[lo + r] = sorted({*items[lo + r], *(x for w in np.unique(no[own]).tolist() for x in block.items[w])})
-    new = {"_n": pa.array(n), "_runs": pa.array(runs, _RUNS), "_items": pa.array(items, _ITEMS)}
-    return pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for i, c in enumerate(b.schema.names)], names=b.schema.names)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(n), pa.array(runs, _RUNS), pa.array(items, _ITEMS)], names=b.schema.names)
 
 
 def hit_words():
@@ -208,7 +209,7 @@ def contaminated():
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that aren't contaminated."""
-    return contamination(docs, items).where(~contaminated()).select(*docs.columns)
+    return unpacked(_searched(docs, items, "item_id").where(~contaminated()), docs.columns, apart=("text",))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,13 +71,21 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def packed(df: DataFrame, name: str = "row") -> DataFrame:
-    """All columns of df in one struct column, so that no name of theirs meets one that is added."""
-    return df.select(F.struct(*(quoted(c) for c in df.columns)).alias(name))
+def packed(df: DataFrame, *apart: str) -> DataFrame:
+    """``row``, a struct of df's columns, so that no name of theirs meets one that is added; and the columns ``apart``."""
+    held = [quoted(c) for c in df.columns if c not in apart]
+    return df.select(F.struct(*(held or [F.lit(0).alias("nothing")])).alias("row"), *apart)
 
 
-def unpacked(df: DataFrame, columns: list[str], *added, name: str = "row") -> DataFrame:
-    """The columns that ``packed`` put away, then the added ones, which replace columns of their names."""
-    new = df.select(*added).columns if added else []
-    taken = {c.lower() for c in new}
-    return df.select(*(F.col(name).getField(c).alias(c) for c in columns if c.lower() not in taken), *added)
+def unpacked(df: DataFrame, columns: list[str], *added, apart: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that ``packed`` put away (or left apart), then the added ones, which replace columns of their names."""
+    taken = {c.lower() for c in df.select(*added).columns} if added else set()
+    return df.select(*(quoted(c) if c in apart else F.col("row").getField(c).alias(c) for c in columns if c.lower() not in taken), *added)
+
+
+def numbered(df: DataFrame, n: str, at: str, block: int = 4096) -> DataFrame:
+    """Each row of df ``n`` times, numbered from 0 in the column ``at``; no array holds more than a block of numbers."""
+    names = [quoted(c) for c in df.columns]
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / block))).alias("_block")
+    rest = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block).cast("long"), F.col(n) - F.col("_block") * block) - 1)).alias("_in")
+    return df.where(F.col(n) > 0).select(*names, first).select(*names, "_block", rest).select(*names, (F.col("_block") * block + F.col("_in")).alias(at))
