@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import stash, table
+from .shared import numbered, stash, table
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 BATCH_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
@@ -235,24 +235,30 @@ def _remove(docs: pa.Table, told: pa.Table) -> pa.Table:
             "n_words": pa.array(w.n),
             "n_removed": pa.array(np.bincount(w.row, gone, len(w.n)).astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(out[i:j]).hexdigest() for i, j in zip(cut, cut[1:], strict=False)], pa.string()),
+            "n": docs.column("n"),
         }
     )
 
 
 def deduplicated(docs: DataFrame, level_bits: int = LEVEL_BITS, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (columns doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, math.ceil(size / batch_bytes))
     bits = max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
     first = min(bits, level_bits)
     rows = rows.withColumns({"x1": F.xxhash64("text"), "x2": F.xxhash64(F.lit(3), "text")})
     rows = rows.withColumns({"own": F.xxhash64("at", "x1"), "batch": F.pmod(F.xxhash64("at", "x1"), F.lit(batches))})
-    # of texts that are equal as a whole only the first has to be searched
+    # rows that repeat an id and text are one until the end, so they don't fill a batch
     light = rows.select("x1", "x2", "at", "own", "batch")
+    again = stash(light.groupBy("at", "x1", "x2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    key = ["at", "x1", "x2"]
+    repeated = rows.join(again, key).dropDuplicates(key)
+    rows = rows.join(again, key, "left_anti").withColumn("n", F.lit(1).cast("long")).select(*repeated.columns).unionByName(repeated)
+    # of texts that are equal as a whole only the first has to be searched
     same = light.groupBy("x1", "x2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
     copies = stash(light.join(same, ["x1", "x2"]).where("at <> first").select("batch", F.col("own").alias("copy")).distinct(), "copies")
-    texts = rows.select("doc_id", "text", "at", "own", "batch").groupBy("batch")
+    texts = rows.select("doc_id", "text", "at", "own", "batch", "n").groupBy("batch")
 
     anchors = texts.cogroup(copies.groupBy("batch")).applyInArrow(_send_anchors(first), _ddl(ANCHORS))
     anchors = _exchanged(anchors, ANCHORS, bits, level_bits).groupBy("bucket").applyInArrow(_repeated_anchors, "batch long, h binary")
@@ -262,7 +268,8 @@ def deduplicated(docs: DataFrame, level_bits: int = LEVEL_BITS, batch_bytes: int
     windows = _exchanged(windows, WINDOWS, bits, level_bits).groupBy("bucket").applyInArrow(_settled_windows, _ddl(REPLY, "batch"))
     windows = stash(windows, "windows", "none")
     told = windows.unionByName(copies, allowMissingColumns=True)
-    return texts.cogroup(told.groupBy("batch")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = texts.cogroup(told.groupBy("batch")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, n long")
+    return numbered(out, "n", "at").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,8 @@ def cut(payload: bytes) -> list[bytes]:
 def dictionary(docs: DataFrame) -> bytes | None:
     """A compression dictionary for texts like these; None where there is too little to learn from."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.left(F.col("text"), F.lit(SAMPLE_BYTES)).alias("text")).where("text IS NOT NULL").collect()
+    starts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.left(F.col("text"), F.lit(SAMPLE_BYTES)).alias("text")).where("text IS NOT NULL")
+    rows = starts.groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # one row an id, however often it is repeated
     texts = [t.encode()[:SAMPLE_BYTES] for _, t in sorted((r["doc_id"], r["text"]) for r in rows)]
     size = min(DICTIONARY, sum(map(len, texts)) // 20)
     if len(texts) < 50 or size < 1024:

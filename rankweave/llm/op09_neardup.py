@@ -12,17 +12,20 @@ the full shingle sets.
 Groups may be very large, so pairs inside a bucket are never listed. Equal sets become one class first;
 buckets with the same members are merged; then every member is compared with one hub, first the smallest id,
 then the member with most links. Buckets whose members are connected are done. Only what is still apart
-is compared member by member, in blocks: signatures within REACH, then the full sets as bit rows, and only
+is compared member by member, in blocks: first signatures alone, so strangers that met in a bucket never move
+their texts, then, of members with a partner within REACH, the full sets as bit rows, and only
 links that join components come out. Connecting links are all that components need; no pair of members of
 different components is skipped.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; rows with the same id are
-one document, linked with whatever one of them is; a null id has no component (null) and is kept; repeated
-rows are all returned; an empty table gives an empty result.
+one document, linked with whatever one of them is, and of a kept one's rows the one with the smallest hash
+stays; a null id has no component (null) and is kept; repeated rows are all returned by ``components``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -33,11 +36,13 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import contract, merged
-from .shared import stash, table
+from .shared import packed, stash, table, unpacked
 
 WORDS, PERCENT = 3, 85
 PARTS, CHUNKS, REACH = 64, 12, 23
 HUB_ROWS, BLOCK_ROWS = 256, 1024
+#: Signatures that one task masks: about 16 MB of keys for each.
+MASK_ROWS = 1 << 14
 SLAB = 1 << 14  # shingles that a bit row holds at once
 
 _HASH = textkit.Hasher(909, lower=True)
@@ -145,7 +150,8 @@ def masked(reps: DataFrame, by: Law = OP9) -> DataFrame:
             key = textkit.mix(totals[:, by.chunk_of] - values + np.arange(1, by.parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rid").to_numpy(), by.parts))], names=["key", "rid"])
 
-    return reps.select("rid", "sig").mapInArrow(keys, "key long, rid long")
+    tasks = max(1, math.ceil(reps.count() / MASK_ROWS))
+    return reps.select("rid", "sig").repartition(tasks, "rid").mapInArrow(keys, "key long, rid long")
 
 
 def buckets(reps: DataFrame, by: Law = OP9) -> DataFrame:
@@ -273,13 +279,39 @@ def _compare(t: pa.Table, by: Law = OP9) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _across(apart: DataFrame, texts: DataFrame, by: Law = OP9) -> DataFrame:
+def _partnered(t: pa.Table, by: Law = OP9) -> pa.Table:
+    """The members of a block pair whose sizes and signatures allow a link with a member of another component."""
+    n, c, side = (t.column(x).to_numpy() for x in ("n_shingles", "c", "own"))
+    sig = _matrix(t.column("sig"), by.parts)
+    within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+    names, counts = np.unique(c, return_counts=True)
+    found = np.zeros(len(n), bool)
+    for i in np.flatnonzero(c != names[np.argmax(counts)]):
+        j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= by.percent * np.maximum(n, n[i])))
+        j = j[(sig[j] != sig[i]).sum(1) <= by.reach]
+        if len(j):
+            found[j] = found[i] = True
+    return t.filter(pa.array(found)).select(["key", "lo", "hi", "own", "rid", "c"])
+
+
+def _across(apart: DataFrame, reps: DataFrame, texts: DataFrame, by: Law = OP9) -> DataFrame:
     """Links (a, b) that join what is apart in a bucket. Blocks of BLOCK_ROWS members meet pair by pair, a task each."""
     sizes = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    rows = apart.join(sizes, "key").join(texts, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    rows = apart.join(sizes, "key").join(reps, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    return rows.select("key", "lo", "hi", "own", "rid", "c", "text").groupBy("key", "lo", "hi").applyInArrow(lambda t: _compare(t, by), "a long, b long").distinct()
+    rows = rows.select("key", "lo", "hi", "own", "rid", "c", "n_shingles", "sig")
+    met = rows.groupBy("key", "lo", "hi").applyInArrow(lambda t: _partnered(t, by), "key long, lo long, hi long, own long, rid long, c long")
+    met = stash(met.distinct(), "met").join(texts, "rid")
+    return met.select("key", "lo", "hi", "own", "rid", "c", "text").groupBy("key", "lo", "hi").applyInArrow(lambda t: _compare(t, by), "a long, b long").distinct()
+
+
+def _texts(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """rid, text of these ids, each text of an id once."""
+    again = stash(signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("rid")), "again")
+    rows = docs.select(F.col("doc_id").alias("rid"), "text").join(ids.hint("merge"), "rid", "left_semi")
+    repeated = rows.join(again, "rid", "left_semi").withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(9), "text")})
+    return rows.join(again, "rid", "left_anti").unionByName(repeated.dropDuplicates(["rid", "h1", "h2"]).select("rid", "text"))
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, earlier: DataFrame | None = None) -> DataFrame:
@@ -303,10 +335,10 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, earl
     links = stash(links, "links")
     label = contract(links)
     apart = members if earlier is None else _apart(members, label)
-    texts = stash(docs.select(F.col("doc_id").alias("rid"), "text").join(apart.select("rid").distinct().hint("merge"), "rid", "left_semi"), "texts")
+    texts = stash(_texts(docs, signed, apart.select("rid").distinct()), "texts")
     for how in ("smallest", "linked", "apart"):
         if how == "apart":
-            fresh = _across(apart, texts, by)
+            fresh = _across(apart, reps, texts, by)
         else:
             if how == "smallest":
                 hubs = apart.groupBy("key").agg(F.min("rid").alias("hub"))
@@ -341,9 +373,16 @@ def deduplicated(docs: DataFrame, laws: tuple[tuple[int, int], ...] = ((WORDS, P
         found = components(docs, words, percent, found)
         if len(laws) > 1:
             found = stash(found, "found")
-    ids = stash(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    first = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    # of the rows of an id the one with the smallest hash stays, whatever order they come in
+    names = docs.columns
+    nulls = F.array(*(F.col("row").getField(c).isNull() for c in names))
+    rows = packed(docs).select("row", F.col("row").getField("doc_id").alias("id")).withColumns({"h1": F.xxhash64(F.col("row").getField("text"), "row", nulls), "h2": F.xxhash64(F.lit(4), nulls, "row")})
+    own = rows.where("id IS NOT NULL").groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("m"))
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    chosen = stash(own.join(ids, "id", "left_semi").select("id", "m.h1", "m.h2", "m.n"), "kept")
+    kept = rows.join(chosen, ["id", "h1", "h2"])
+    once, more = kept.where("n = 1").select("row"), kept.where("n > 1").groupBy("id").agg(F.first("row").alias("row")).select("row")
+    return unpacked(once.unionByName(more).unionByName(rows.where("id IS NULL").select("row")), names)
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ field is trained on labelled pages (pages made by ``labelled_pages``, or any giv
 gradient of its likelihood, emissions and transitions alike, and decoded by Viterbi, page by page.
 
 Defined cases: a null or empty page has an empty text; pages without markup are one block; unclosed elements
-end with their parent; an unclosed script or comment hides the rest; repeated pages and very long ones are
-handled like others.
+end with their parent; an unclosed script, style, textarea, iframe or comment hides the rest, as HTML has it; the
+text of objects, formulas, drawings and what is shown without scripts is text like any other; repeated pages and very
+long ones are handled like others; input columns named ``text`` or ``n_chars`` are replaced.
 """
 
 from __future__ import annotations
@@ -23,16 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chain import odds, pair_counts, viterbi
-from .shared import table
+from .shared import quoted, table, with_fields
 
 BUCKETS = 1 << 14
 TAG = re.compile(r"<!--|<!\[CDATA\[|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+|[0-9]+")
-#: Elements whose content is no text of the page.
-RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "textarea", "select", "canvas", "audio", "video"}
+#: Declarations that hide an element.
+UNSEEN = re.compile(r"(?:^|[;\s\"'])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+#: Elements whose content isn't markup: only their own end tag ends them, or the page. None of it is main text.
+RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "xmp"}
+#: Elements with markup inside whose content is never shown as text, as long as they are closed.
+HELD = {"template", "select", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr", "input"}
+#: Parts of formulas and drawings stand in their line too.
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation svg g path tspan circle rect line polyline polygon ellipse defs use".split())
 #: An element of the key is closed by the start of one of these, up to the nearest of the boundaries.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head", "title"}, set())}
 
@@ -91,9 +98,10 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int]]:
                     del stack[i:]
                     break
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not m[3].endswith("/") else None
-            at = close.end() if close else (at if m[3].endswith("/") else end)
+        if tag in RAW or tag in HELD:
+            if not m[3].endswith("/"):
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else end if tag in RAW else at
             continue
         if tag in VOID:
             continue
@@ -113,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int]]:
             for key, value in NAMES.findall(m[3]):
                 key, value = key.lower(), value.lower()
                 if key == "style":
-                    found += ["hidden"] if "none" in value or "hidden" in value else []
+                    found += ["hidden"] if UNSEEN.search(value) else []
                 elif key in ("hidden", "aria-hidden"):
                     found += ["hidden"] if "false" not in value else []
                 else:
@@ -326,6 +334,8 @@ def _page(rng: random.Random) -> tuple[str, list[bool]]:
     title = phrase(4)
     labels.append(False)
     page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
+    if rng.random() < 0.15:
+        page += "<noscript>" + leaf("p", prose(1), False) + "</noscript>"
     for _ in range(rng.randint(0, 4)):
         page += aside() if rng.random() < 0.7 else f"<nav>{links()}</nav>"
     kind = rng.random()
@@ -347,18 +357,18 @@ def _page(rng: random.Random) -> tuple[str, list[bool]]:
 
 def extract(pages: DataFrame, model: dict) -> DataFrame:
     """pages with ``text`` and ``n_chars`` in place of ``html``."""
-    kept = [c for c in pages.columns if c != "html"]
+    kept = [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
 
     def extracted(batches):
         own = Extractor(model)
         for b in batches:
-            column = b.column(b.schema.get_field_index("html"))
+            column = b.column(len(kept))
             for lo in range(0, b.num_rows, 500):
                 texts = [own.text(x.as_py()) for x in column.slice(lo, 500)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 500) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, 500) for x in b.columns[:-1]), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    types = dict(pages.dtypes)
-    return pages.mapInArrow(extracted, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string", "n_chars long"]))
+    rows = pages.select(*(quoted(c) for c in kept), "html")
+    return rows.mapInArrow(extracted, with_fields(rows.drop("html"), "text string, n_chars long"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
