@@ -135,15 +135,18 @@ def _settle_large(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) ->
 
 
 def _mended(p: np.ndarray, size: np.ndarray, wanted: float) -> np.ndarray:
-    """Where the landed words are off by over MEND, the landing takes LANDING more entries, the largest that can help."""
-    off = wanted - p @ size
-    if abs(off) > MEND * wanted:
+    """While the landed words are off by over MEND, the landing takes LANDING more entries, the largest that can help.
+
+    That happens where numbers of documents and words can't both be kept, as a document holds most of a source.
+    """
+    while abs(off := wanted - p @ size) > MEND * wanted:
         state = 0.0 if off > 0 else 1.0
-        at = np.flatnonzero((p == state) & (size > 0) & (size <= 2 * abs(off)))[:LANDING]
-        if len(at):
-            ways = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at))) & 1
-            best = np.argmin(np.abs(ways @ size[at].astype(float) - abs(off)))
-            p[at[ways[best] == 1]] = 1 - state
+        at = np.flatnonzero((p == state) & (size > 0) & (size < 2 * abs(off)))[:LANDING]
+        if not len(at):
+            break
+        ways = (np.arange(2 ** len(at))[:, None] >> np.arange(len(at))) & 1
+        best = np.argmin(np.abs(ways @ size[at].astype(float) - abs(off)))
+        p[at[ways[best] == 1]] = 1 - state
     return p
 
 

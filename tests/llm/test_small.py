@@ -2,20 +2,24 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankweave.llm import chain, op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup, op10_html, textkit
+from rankweave.llm import chain, labelled, op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup, op10_html, textkit
 from rankweave.llm.components import contract
 
+DATA = os.environ.get("RANKWEAVE_LABELLED_DIR", "/root/testdata/sf0.1")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -189,6 +193,13 @@ def test_signatures_hold_at_their_threshold():
     assert op09_neardup.OP9.reach == op09_neardup.REACH
 
 
+def test_one_row_of_an_id_survives_whatever_the_order(spark):
+    rows = [(1, "w0 a b c", "x"), (1, "other text of this id", "y"), (1, "w0 a b c", "x"), (2, "quite another thing", None), (2, "quite another thing", "z"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = [sorted(map(repr, op09_neardup.deduplicated(docs.repartition(n)).collect())) for n in (1, 7)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
 def test_contract(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (20, 21), (5, 5), (22, 21)], "a long, b long")
     assert {r["v"]: r["c"] for r in contract(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, 22: 20}
@@ -220,10 +231,9 @@ def test_contamination(spark, docs, nothing, monkeypatch, block):
     texts = [r["text"] or "" for r in docs.select("text").collect()]
     items = [(1, " ".join(texts[0].split()[:20])), (2, "ab"), (3, None), (None, "cd"), (4, ""), (5, texts[3]), (5, texts[9]), (6, "zz zz zz")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    own = docs.drop("_n")
-    got = op07_decontaminate.contamination(own, table).select("doc_id", "_n", op07_decontaminate.hit_words(), "_items", op07_decontaminate.contaminated()).collect()
+    got = op07_decontaminate.contamination(docs, table).select("doc_id", "_n", op07_decontaminate.hit_words(), "_items", op07_decontaminate.contaminated()).collect()
     assert sorted(repr(tuple(r)) for r in got) == brute_hits(docs.select("doc_id", "text").collect(), items)
-    assert op07_decontaminate.clean(own, nothing.select(F.col("doc_id").alias("item_id"), "text")).count() == docs.count()
+    assert op07_decontaminate.clean(docs, nothing.select(F.col("doc_id").alias("item_id"), "text")).count() == docs.count()
 
 
 # ---- 1, 3: dealing --------------------------------------------------------------------------------------
@@ -259,6 +269,19 @@ def test_mix(spark, docs, nothing):
     assert op01_mix.mixed(docs).columns == docs.columns
 
 
+def test_repeated_rows_and_one_long_document_are_mixed(spark):
+    rows = [(None, "a b c", "s0")] * 900 + [(i, "w " * (5 + i % 40), "s0" if i % 2 else "s1") for i in range(300)] + [(1000, "w " * 3000, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = op01_mix.mix(docs, op01_mix.n_words()).collect()
+    assert len(got) == len(rows)
+    for s in ("s0", "s1"):
+        own = [r for r in got if r["source"] == s]
+        assert sum(r["copies"] * r["size"] for r in own) == pytest.approx(own[0]["target"], rel=0.01)
+    copies = Counter(r["copies"] for r in got if r["doc_id"] is None)
+    assert max(copies) - min(copies) <= 1 and sum(copies.values()) == 900
+    assert op01_mix.mixed(docs).count() == sum(r["copies"] for r in got)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size = np.sort(rng.integers(1, 500, 400))[::-1]
@@ -307,6 +330,46 @@ def test_quality_and_toxicity_edge_cases(spark, docs, nothing):
     assert op02_quality.accepted(docs, None).count() == docs.count()
 
 
+def test_a_score_grows_with_toxicity_and_is_low_without():
+    """Whatever is learned: slopes aren't negative, and texts without words are clean."""
+    rng = np.random.default_rng(5)
+    for share in (0.1, 0.9):
+        e = np.abs(rng.normal(size=(300, 3)))
+        y = (rng.random(300) < share).astype(int)
+        b = op04_toxicity._logistic(e, y)
+        assert (b[:-1] >= 0).all() and b[-1] < 0
+    texts = ["bad words here"] * 30 + ["other things there"] * 5
+    model = op04_toxicity.fit(texts, np.array([1] * 30 + [0] * 5))
+    s, spans = op04_toxicity._scored(model, pa.array(["", None, "...", " \n"]))
+    assert (s < 0.5).all() and spans == [[]] * 4
+    # near copies are one vote: thirty copies of one text mark nothing
+    assert not op04_toxicity._Sample(texts, np.array([1] * 30 + [0] * 5)).mark.any()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_held_out_accuracy(spark):
+    """On rows whose labels weren't learned: quality at 0.7, toxicity at 0.5."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    for query, label, least in ((op02_quality.op2_quality, "quality", 0.97), (op04_toxicity.op4_toxicity, "toxic", 0.9)):
+        got = query(spark, DATA).where("held_out").join(labels, "doc_id").groupBy("predicted", F.col(label).alias("label")).count().collect()
+        n = {(r["predicted"], r["label"]): r["count"] for r in got}
+        hit = n.get((1, 1), 0)
+        assert hit / (hit + n.get((1, 0), 0)) >= least, (label, n)
+        assert hit / (hit + n.get((0, 1), 0)) >= (least if label == "quality" else 0.88), (label, n)
+
+
+def test_training_samples_are_bounded(spark):
+    """Rows a label, pieces and passages a text: no more than their limits, for ids repeated and texts however long."""
+    long = "word other thing " * 100_000
+    docs = spark.createDataFrame([(i % 4, f"{long} {i}") for i in range(8)] + [(i % 4, f"{long} 0") for i in range(4)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (9, 0)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", F.lit(True), 3, op04_toxicity.pieces)
+    assert Counter(r["label"] for r in rows) == {0: 3, 1: 3}
+    assert all(len(r["x"].split()) <= op04_toxicity.TRAIN_PIECES * op04_toxicity.PIECE for r in rows)
+    rows = labelled.sample(docs, labels, "toxic", F.lit(True), 3, op02_quality.passages)
+    assert max(len(r["x"]) for r in rows) == op02_quality.TRAIN_PASSAGES * 4 * (op02_quality.CLASSES + 8 + op02_quality.BINS)
+
+
 def test_passages_dont_depend_on_their_neighbours():
     texts = pa.array(["  a b", "c d e " * 60, "", None, " \n", "é"])
     data, offsets = textkit.flat(texts)
@@ -362,6 +425,67 @@ def test_html():
     assert len(op10_html.blocks("<p " + '"' * 20000 + ">x")) <= 1
 
 
+class _Plain(HTMLParser):
+    """Reads the made-up site of the driver's pages: blocks inside <article>, without its adverts and comments."""
+
+    BLOCKS = {"p", "h1", "h2", "h3", "li", "div", "section", "article", "pre", "blockquote", "ul", "hr", "aside", "footer", "nav", "header", "form", "td", "tr", "table"}
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.off, self.out, self.parts = 0, 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text and self.depth and not self.off:
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS or tag in ("script", "style"):
+            self.flush()
+        if tag == "br":
+            self.parts.append(" ")
+        self.depth += tag == "article"
+        aside = tag in ("aside", "footer", "nav", "header", "form", "script", "style") or (tag in ("div", "section", "ul") and any(v in dict(attrs).get("class", "").split() for v in ("ad", "comments", "related", "share")))
+        if self.off or aside:
+            self.off += (tag in self.BLOCKS and tag not in ("p", "li", "hr")) or tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS or tag in ("script", "style"):
+            self.flush()
+            if self.off and tag not in ("p", "li"):
+                self.off -= 1
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_html_against_a_plain_reader(spark):
+    got = {r["page_id"]: r for r in op10_html.op10_html(spark, DATA).collect()}
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    same = 0
+    for p in pages:
+        reader = _Plain()
+        reader.feed(p["html"] or "")
+        same += "\n\n".join(reader.out) == got[p["page_id"]]["text"]
+        assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"]) and got[p["page_id"]]["url"] == p["url"]
+    assert same >= 0.98 * len(pages), same
+
+
+def test_html_cases():
+    own = op10_html.Extractor(op10_html.train(op10_html.labelled_pages(300)))
+    page = "<article><h1>One title here.</h1><p style='list-style:none;overflow:hidden'>Shown, with some words in it.</p><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, all is well.</p><object><p>Inside an object, as a fallback.</p></object><p>After <select><option>never</select>all of it, the end.</p></article>"
+    assert own.text(page) == "One title here.\n\nShown, with some words in it.\n\nWhere x=1 holds, all is well.\n\nInside an object, as a fallback.\n\nAfter\n\nall of it, the end."
+    for style in ("display:none", "color:red; DISPLAY : none", "visibility:hidden"):
+        assert "hidden" in op10_html.blocks(f'<div style="{style}">x</div>')[0][1][-1][1]
+    for style in ("border:none", "overflow:hidden", "list-style: none"):
+        assert "hidden" not in op10_html.blocks(f'<div style="{style}">x</div>')[0][1][-1][1]
+    assert [b[0] for b in op10_html.blocks("<p>a<object><p>b<select><p>c")] == ["a", "b", "c"]
+
+
 # ---- 6, 8 -------------------------------------------------------------------------------------------------
 
 
@@ -374,6 +498,31 @@ def test_media_round_trip(docs, nothing):
     assert op06_media.media(nothing).count() == 0
 
 
+def test_media_fields_are_those_of_the_stored_samples(spark):
+    """Every field from a plain reading of the payload and of the store; long payloads of several chunks, too."""
+    rng = random.Random(6)
+    texts = ["", None, "a" * 192, "é" * 100, "".join(rng.choice("abc def") for _ in range(300_000))]
+    texts += [texts[4] + "x", texts[4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, lists, chunks = op06_media.store(docs, None)
+    frames = {bytes(r["digest"]): bytes(r["frame"]) for r in chunks.collect()}
+    many = defaultdict(list)
+    for r in sorted(lists.collect(), key=lambda r: r["idx"]):
+        many[bytes(r["media"]).hex()].append(frames[bytes(r["digest"])])
+    for r in op06_media.media(docs).collect():
+        payload = op06_media.padded((texts[r["doc_id"]] or "").encode())
+        assert (r["n_bytes"], r["payload_bytes"]) == (len((texts[r["doc_id"]] or "").encode()), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        stored = many.get(r["media"]) or [frames[bytes.fromhex(r["media"])]]
+        assert b"".join(zstandard.ZstdDecompressor().decompress(f) for f in stored) == payload
+        assert r["media_bytes"] == sum(map(len, stored)) and r["media_sha256"] == hashlib.sha256(b"".join(stored)).hexdigest()
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        fields = dict(f.split("=") for f in r["feature"].split())
+        assert float(fields["mean"]) == pytest.approx(x.mean(), abs=1e-3) and float(fields["std"]) == pytest.approx(x.std(), abs=1e-3)
+        assert int(fields["crossings"]) == int(np.count_nonzero((x[1:] >= 96) != (x[:-1] >= 96)))
+    assert len(many) == 2
+
+
 def test_cuts_follow_the_content():
     rng = np.random.default_rng(4)
     data = rng.integers(0, 256, 400_000, dtype=np.uint8).tobytes()
@@ -392,6 +541,17 @@ def test_url_cascade(spark):
     assert op08_urls.judge(pages.limit(0), op08_urls.RULES).count() == 0
 
 
+def test_url_cascades_in_parts(spark, monkeypatch):
+    urls = [f"http://h{i % 50}.example.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'fr'}/{i}" for i in range(400)]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, keys string")
+    one = op08_urls.judge(pages, op08_urls.RULES)
+    monkeypatch.setattr(op08_urls, "MAX_BITS", 100)
+    parts = op08_urls.judge(pages, op08_urls.RULES)
+    assert one.columns == ["page_id", "url", "keys", "host", "path", "rule", "verdict"]
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, parts.collect()))
+    assert one.where("keys <> 'y'").count() == 0 and one.where("rule IS NOT NULL").count() > 100
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = universe.where(F.xxhash64("key") % 5 == 0)
