@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import op01_mix, op02_quality, op03_shards, op07_decontaminate, op09_neardup
-from rankweave.llm.shared import stash, table
+from rankweave.llm.shared import quoted, stash, table
 
 SHARDS = 40
 #: Near copies share 80 % of their 5-word shingles or 85 % of their 3-word ones: the first also finds longer changes
@@ -40,15 +40,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with shard and slot, in shuffled order."""
-    held = docs.withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, "text_crc32": F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))})
-    dealt = op03_shards.shard(held, SHARDS, weight="size")
-    return dealt.select(*docs.columns, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All rows with shard and slot, in shuffled order; columns of docs that have a name of those added are replaced."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    added = {"size": size, "text_crc32": F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
+    dealt = op03_shards.shard(docs, SHARDS, weight=size)
+    names = [*added, "shard", "slot"]
+    return dealt.withColumns(added).select(*(quoted(c) for c in docs.columns if c.lower() not in names), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources", mixing), ("sharding", sharding)]
 
-#: SQL can express neither the learned classifier nor the random draws; tests compare with brute force.
+#: SQL can express neither the learned classifier nor the random draws; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
