@@ -35,6 +35,7 @@ TOXIC_FROM, SPAN_FROM = 0.5, 0.5
 FLOOR = 1e-3
 #: The most that the log odds of a document without evidence can be.
 BLANK = -0.5
+RUN = 1 << 17
 #: Runs of a minwise signature, one of which two near copies share; the weight that holds transitions near 1.
 BANDS, TIGHT = 16, 10.0
 
@@ -138,11 +139,11 @@ class _Sample:
             counts.append(np.diff(begin))
             base += len(key)
         _, one, form = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        self.form = form[np.concatenate(forms)]
+        self.form = form.astype(np.int32)[np.concatenate(forms)]
         self.features = np.concatenate(kinds, axis=1)[:, one]
         length, counts = np.concatenate(lengths)[one], np.concatenate(counts)
         self.begin = np.append(0, np.cumsum(counts))
-        doc = np.repeat(np.arange(len(texts)), counts)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         self.first = np.zeros(len(doc) + 1, bool)
         self.first[self.begin[:-1]] = True
         self.first = self.first[:-1]
@@ -173,6 +174,11 @@ class _Sample:
             mark |= usable & ((t >= SUPPORT) & (odds <= CLEAN_SHARE) & (bound > np.log(max(tried, 1))) & (share > rate))[inverse]
         self.mark = mark[self.form] & (label[doc] == 1)
 
+    def runs(self) -> list[tuple[int, int]]:
+        """Ranges of tokens of whole documents, of about RUN tokens each; what training holds at once."""
+        cut = np.unique(np.append(self.begin[:-1][np.append(True, np.diff(self.begin[:-1] // RUN) > 0)], len(self.form)))
+        return list(zip(cut.tolist(), cut[1:].tolist(), strict=False))
+
 
 def fit(texts: list, y: np.ndarray, rounds: int = 30, rate: float = 0.5, decay: float = 1e-6) -> dict | None:
     """Train the field by gradient steps on the likelihood of the marked tokens, then the logistic layer.
@@ -183,31 +189,35 @@ def fit(texts: list, y: np.ndarray, rounds: int = 30, rate: float = 0.5, decay:
     if not (y == 1).any():
         return None
     own = _Sample(texts, y)
-    at = (own.features & textkit.U64(BUCKETS - 1)).astype(np.int64)
-    first, m = own.first, own.mark.astype(float)
+    at = (own.features & textkit.U64(BUCKETS - 1)).astype(np.int32)
+    first, m, runs = own.first, own.mark.astype(np.float32), own.runs()
     seen = np.bincount((own.mark[:-1] * 2 + own.mark[1:])[~first[1:]], minlength=4).reshape(2, 2)
     base = (m.sum() + 1) / (len(m) + 2)
     bias, w, grow = np.log(base / (1 - base)) / 2, np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     log_a, grow_a, start, grow_s = np.zeros((2, 2)), np.ones((2, 2)), 0.0, 1.0
     for turn in range(rounds if len(m) else 0):
         use = at[VIEWS[turn % len(VIEWS)]]
-        x, a, s = np.exp(np.clip(w[use].sum(0)[own.form] + bias, -30, 30)), np.exp(log_a), float(np.exp(start))
-        known = odds(x, first, a, s)
-        both = known[0] * known[1]
-        error = m - both / (1 + both)
-        step = np.bincount(own.form, error, at.shape[1])
+        a, s, forms = np.exp(log_a), float(np.exp(start)), np.exp(np.clip(w[use].sum(0) + bias, -30, 30))
+        step, ga, gs = np.zeros(at.shape[1]), seen - TIGHT * log_a, -TIGHT * start
+        for lo, hi in runs:
+            x, begins = forms[own.form[lo:hi]], first[lo:hi]
+            known = odds(x, begins, a, s)
+            both = known[0] * known[1]
+            error = m[lo:hi] - both / (1 + both)
+            step += np.bincount(own.form[lo:hi], error, at.shape[1])
+            ga = ga - pair_counts(x, begins, a, s, known)
+            gs += error[begins].sum()
         g = -decay * len(m) * w
         for row in use:
             g += np.bincount(row, step, BUCKETS)
         g[int(NONE)] = 0
-        ga = seen - pair_counts(x, first, a, s, known) - TIGHT * log_a
-        gs = error[first].sum() - TIGHT * start
         grow, grow_a, grow_s = grow + g * g, grow_a + ga * ga, grow_s + gs * gs
         w, log_a, start = w + rate * g / np.sqrt(grow), log_a + rate * ga / np.sqrt(grow_a), start + rate * gs / np.sqrt(grow_s)
     model = {"w": w.astype(np.float32), "bias": bias, "a": np.exp(log_a), "start": float(np.exp(start))}
-    x = np.exp(np.clip(model["w"][at].sum(0)[own.form] + bias, -30, 30))
-    e = evidence(marginals(x, first, model["a"], model["start"]), own.begin)
-    return model | {"layer": _logistic(e, y)}
+    forms, p = np.exp(np.clip(model["w"][at].sum(0) + bias, -30, 30)), np.zeros(len(m))
+    for lo, hi in runs:
+        p[lo:hi] = marginals(forms[own.form[lo:hi]], first[lo:hi], model["a"], model["start"])
+    return model | {"layer": _logistic(evidence(p, own.begin), y)}
 
 
 def _logistic(e: np.ndarray, y: np.ndarray) -> np.ndarray:
