@@ -8,9 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no signal in issue text and code.
+#: The stop list of code tokens in candidate building.
+CODE_V2_STOP = "the and for not but are was has had can may use def class self return import from if else elif try except with as in is or none true false pass raise this that will would should could title".split()
+#: The stop list of code tokens in per-commit retrieval.
+CODE_STOP = "the and for not but are was has had can may use def class self return import from if else elif try except with as in is or none true false pass raise this that will would should could".split()
+#: The stop list of code tokens in enhanced queries.
+ENHANCED_STOP = "the and for not but are was has had can may use def class self return import from if else elif try except with as in is or none true false pass raise".split()
+#: Python keywords that are no content tokens.
+PY_STOP = "self def class return import from if else elif for while try except with as in not and or is none true false pass break continue raise yield lambda global nonlocal assert del print".split()
+#: The stop list of improved issue tokens.
+ISSUE_STOP = "this that with from have been when what does should could would will than then also into some other more after before title description the and for not but are was were has had can may use using used like just about get set".split()
+#: Words that carry no signal in overlap scores and titles.
 STOP = "the a an is are was were be been to of and in that it for on with as at by from or this not but if when has have had do does did will would can could should".split()
-CODE_STOP = "self cls def class return import from if else elif for while in not and or is none true false try except with as pass raise lambda yield".split()
 
 LOWER_UPPER, UPPER_WORD = r"([a-z])([A-Z])", r"([A-Z]+)([A-Z][a-z])"
 
@@ -70,8 +79,8 @@ def stem(c: str | Column) -> Column:
 
 
 def tok_path_improved(c: str | Column) -> Column:
-    """Tokens of the path, again of its file name and of its directory, and the dotted module name."""
-    return F.concat(tok_path_basic(c), tok_path_basic(basename(c)), tok_path_basic(dirname(c)), F.array(F.lower(F.replace(strip_py(c), F.lit("/"), F.lit(".")))))
+    """Tokens of the path, again of its file name and of its directory, and the dotted path."""
+    return F.concat(tok_path_strict(c), tok_path_strict(basename(c)), tok_path_strict(dirname(c)), _longer(F.array(F.lower(F.replace(strip_py(c), F.lit("/"), F.lit("."))))))
 
 
 def tok_path_set(c: str | Column) -> Column:
@@ -89,27 +98,32 @@ def tok_path_components(c: str | Column) -> Column:
     return F.array_distinct(F.concat(own, _longer(F.flatten(F.transform(own, lambda x: F.split(x, r"[_\-.]+"))))))
 
 
-def _identifiers(c: str | Column, acronyms: bool = False) -> Column:
-    return _longer(_all(F.lower(split_camel(F.regexp_replace(_col(c), r"[_./\-]+", " "), acronyms)), "[a-z][a-z0-9]*"))
+def _code(c: str | Column, stop: list[str]) -> Column:
+    """Both camel rules, separators as spaces, words that begin with a letter."""
+    return _without(_longer(_all(F.lower(F.regexp_replace(split_camel(c, acronyms=True), r"[_/\-.]", " ")), "[a-z][a-z0-9]*")), stop)
 
 
 def tok_code_v2(c: str | Column) -> Column:
-    return _without(_identifiers(c), STOP + CODE_STOP)
+    return _code(c, CODE_V2_STOP)
 
 
 def tok_code_strict(c: str | Column) -> Column:
-    return _without(_identifiers(c), CODE_STOP)
+    return _code(c, CODE_STOP)
 
 
 def tok_code_pystrip(c: str | Column) -> Column:
-    """Python source without comments and docstrings."""
-    bare = F.regexp_replace(F.regexp_replace(_col(c), '(?s)""".*?"""', " "), "(?s)'''.*?'''", " ")
-    return tok_code_strict(F.regexp_replace(bare, "(?m)#.*$", " "))
+    """Identifiers of Python source without comments and docstrings."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(c), "(?m)#.*$", ""), '(?s)""".*?"""', ""), "(?s)'''.*?'''", "")
+    return _without(_longer(_camel_words(_all(bare, "[a-zA-Z_][a-zA-Z0-9_]*"))), PY_STOP)
+
+
+def _camel_words(names: Column, acronyms: bool = False) -> Column:
+    return F.flatten(F.transform(names, lambda x: F.split(F.lower(split_camel(x, acronyms)), " ")))
 
 
 def tok_text_stem(c: str | Column) -> Column:
-    """Two camel rules and alphanumerics; stemming is left to the caller."""
-    return _longer(_all(F.lower(split_camel(c, acronyms=True)), "[a-z0-9]+"))
+    """Two camel rules and words that begin with a letter; stemming is left to the caller."""
+    return _longer(_all(F.lower(split_camel(c, acronyms=True)), "[a-z][a-z0-9]*"))
 
 
 def tok_alnum(c: str | Column) -> Column:
@@ -125,42 +139,59 @@ def py_refs(c: str | Column) -> Column:
 
 
 def quoted(c: str | Column) -> Column:
-    return _all(_col(c), "[`\"']([A-Za-z_][A-Za-z0-9_.]*)[`\"']", 1)
+    return _all(_col(c), "[`\"'](\\w+)[`\"']", 1)
+
+
+def _quoted_parts(c: str | Column) -> Column:
+    """Parts of quoted names, which may have dots."""
+    found = _all(_col(c), "[`\"']([\\w.]+)[`\"']", 1)
+    return _longer(F.flatten(F.transform(found, lambda x: F.split(F.lower(x), "[._]"))))
 
 
 def dotted(c: str | Column, least: int) -> Column:
     """Dotted names with at least so many dots, in parts."""
-    names = _all(_col(c), r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*){" + str(least) + r",}")
+    names = _all(_col(c), r"\b\w+(?:\.\w+){" + str(least) + r",}\b")
     return F.flatten(F.transform(names, lambda x: F.split(F.lower(x), r"\.")))
 
 
-def _parts_of(words: Column) -> Column:
-    return F.flatten(F.transform(words, tok_path_strict))
+def _parts_of(words: Column, fn=tok_path_strict) -> Column:
+    return F.flatten(F.transform(words, fn))
+
+
+def _ref_parts(c: str | Column) -> Column:
+    """Parts of ``.py`` references, without camel rules."""
+    return _longer(F.flatten(F.transform(py_refs(c), lambda x: F.split(F.lower(F.replace(x, F.lit(".py"), F.lit(""))), r"[/_\-.]"))))
+
+
+def _lower(words: Column) -> Column:
+    return F.transform(words, F.lower)
 
 
 def tok_issue_improved(c: str | Column) -> Column:
-    whole = F.transform(_all(_col(c), r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"), F.lower)
-    return F.concat(_without(_longer(_all(F.lower(split_camel(c)), "[a-z_][a-z0-9_]*")), STOP), whole, _times(_parts_of(py_refs(c)), 2), dotted(c, 1), F.transform(quoted(c), F.lower))
+    camel = _all(_col(c), r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b")
+    own = F.concat(_all(F.lower(_col(c)), "[a-z_][a-z0-9_]*"), _camel_words(camel), _lower(camel), _times(_parts_of(py_refs(c), tok_path_improved), 2), dotted(c, 2), _lower(quoted(c)))
+    return _without(_longer(own), ISSUE_STOP)
 
 
 def tok_issue_v2(c: str | Column) -> Column:
-    return F.concat(_without(_longer(_all(F.lower(split_camel(c)), "[a-z_][a-z0-9_]*"), 2), STOP), _parts_of(py_refs(c)), F.transform(quoted(c), F.lower))
+    words = _without(_longer(_camel_words(_all(_col(c), "[A-Za-z_][A-Za-z0-9_]*"), acronyms=True), 2), CODE_V2_STOP)
+    return F.concat(words, _longer(_parts_of(py_refs(c), tok_path_sep4), 2), _without(_longer(_lower(quoted(c)), 2), CODE_V2_STOP))
 
 
 def tok_query_strict(c: str | Column) -> Column:
-    return F.concat(tok_code_strict(c), _times(_parts_of(py_refs(c)), 3), F.transform(quoted(c), F.lower), dotted(c, 2))
+    return F.concat(tok_code_strict(c), _times(_parts_of(py_refs(c)), 3), _longer(_lower(quoted(c))), dotted(c, 2))
 
 
 def tok_query_chunk(c: str | Column) -> Column:
-    return F.concat(tok_text_stem(c), _times(_parts_of(py_refs(c)), 3), _times(F.transform(quoted(c), F.lower), 2), _times(dotted(c, 1), 2))
+    return F.concat(tok_text_stem(c), _times(_ref_parts(c), 3), _times(_quoted_parts(c), 2), _times(_longer(dotted(c, 1)), 2))
 
 
 def tok_query_enhanced(c: str | Column) -> Column:
-    errors = F.transform(_all(_col(c), r"\b\w+(?:Error|Exception|Warning|Failure)\b"), F.lower)
-    inside = F.transform(_all(_col(c), r"\bin (\w+)", 1), F.lower)
-    traced = F.flatten(F.transform(ext_traceback(c), lambda x: tok_path_strict(basename(x))))
-    defined = F.transform(_all(_col(c), r"\b(?:def|class) (\w+)", 1), F.lower)
-    return F.concat(tok_code_strict(c), _times(_parts_of(py_refs(c)), 4), _times(F.transform(quoted(c), F.lower), 3), _times(dotted(c, 1), 3), _times(errors, 4), _times(inside, 2), _times(traced, 3), _times(defined, 3))
+    errors = F.flatten(F.transform(_all(_col(c), r"\b\w+(?:Error|Exception|Warning|Failure)\b"), lambda x: _code(x, ENHANCED_STOP)))
+    inside = _longer(_lower(_all(_col(c), r"in\s+(\w+)", 1)), 2)
+    traced = _longer(_lower(_all(_col(c), r'File\s+"[^"]*?(\w+)\.py"', 1)), 2)
+    defined = _longer(_lower(_all(_col(c), r"(?:def|class)\s+(\w+)", 1)))
+    return F.concat(_code(c, ENHANCED_STOP), _times(_ref_parts(c), 4), _times(_quoted_parts(c), 3), _times(_longer(dotted(c, 1)), 3), _times(errors, 4), _times(inside, 2), _times(traced, 3), _times(defined, 3))
 
 
 def tok_query_keywords(c: str | Column, keywords: Column) -> Column:

@@ -70,8 +70,12 @@ def _first_seen(arr: str) -> str:
     return f"list_reduce(list_transform({arr}, lambda z: [z]), lambda p, q: CASE WHEN list_contains(p, q[1]) THEN p ELSE list_concat(p, q) END, [''])[2:]"
 
 
-def _ident(c: str) -> str:
-    return _long(f"regexp_extract_all(lower({_camel(_re(c, '[_./-]+', ' '))}), '[a-z][a-z0-9]*')")
+def _ident(c: str, stop: list[str]) -> str:
+    return _drop(_long(f"regexp_extract_all(lower({_re(_camel(c, True), '[_/\\-.]', ' ')}), '[a-z][a-z0-9]*')"), stop)
+
+
+def _camel_words(arr: str, acronyms: bool = False) -> str:
+    return f"coalesce(flatten(list_transform({arr}, lambda y: string_split(lower({_camel('y', acronyms)}), ' '))), [])"
 
 
 def _drop(arr: str, stop: list[str]) -> str:
@@ -93,23 +97,35 @@ def _refs(c: str) -> str:
     return rf"regexp_extract_all({c}, '[\w/]+\.py\b')"
 
 
-def _parts(arr: str) -> str:
-    return f"coalesce(flatten(list_transform({arr}, lambda y: {_strict('y')})), [])"
+def _parts(arr: str, fn=_strict) -> str:
+    return f"coalesce(flatten(list_transform({arr}, lambda y: {fn('y')})), [])"
+
+
+def _lower(arr: str) -> str:
+    return f"list_transform({arr}, lambda x: lower(x))"
 
 
 def _quoted(c: str) -> str:
-    return f"list_transform(regexp_extract_all({c}, '[`\"'']([A-Za-z_][A-Za-z0-9_.]*)[`\"'']', 1), lambda x: lower(x))"
+    return _lower(rf"regexp_extract_all({c}, '[`\"''](\w+)[`\"'']', 1)")
+
+
+def _quoted_parts(c: str) -> str:
+    return _long(rf"coalesce(flatten(list_transform(regexp_extract_all({c}, '[`\"'']([\w.]+)[`\"'']', 1), lambda y: string_split_regex(lower(y), '[._]'))), [])")
 
 
 def _dotted(c: str, least: int) -> str:
-    return rf"coalesce(flatten(list_transform(regexp_extract_all({c}, '\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*){{{least},}}'), lambda x: string_split(lower(x), '.'))), [])"
+    return rf"coalesce(flatten(list_transform(regexp_extract_all({c}, '\b\w+(?:\.\w+){{{least},}}\b'), lambda x: string_split(lower(x), '.'))), [])"
+
+
+def _ref_parts(c: str) -> str:
+    return _long(rf"coalesce(flatten(list_transform({_refs(c)}, lambda y: string_split_regex(lower(replace(y, '.py', '')), '[/_\-.]'))), [])")
 
 
-def _issue_words(c: str, than: int = 1) -> str:
-    return _drop(_long(f"regexp_extract_all(lower({_camel(c)}), '[a-z_][a-z0-9_]*')", than), t.STOP)
+def _improved(c: str) -> str:
+    return _cat(_strict(c), _strict(_base(c)), _strict(_dir(c)), _long(f"[lower(replace({_py(c)}, '/', '.'))]"))
 
 
-_WHOLE = r"list_transform(regexp_extract_all({}, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'), lambda x: lower(x))"
+_WHOLE = r"regexp_extract_all({}, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b')"
 
 
 def _paths(name: str, fn, sql_fn) -> None:
@@ -127,32 +143,32 @@ def _issues(name: str, fn, sql_fn) -> None:
 _paths("tok_path_basic", t.tok_path_basic, _basic)
 _paths("tok_path_sep4", t.tok_path_sep4, _sep4)
 _paths("tok_path_strict", t.tok_path_strict, _strict)
-_paths("tok_path_improved", t.tok_path_improved, lambda c: _cat(_basic(c), _basic(_base(c)), _basic(_dir(c)), f"[lower(replace({_py(c)}, '/', '.'))]"))
+_paths("tok_path_improved", t.tok_path_improved, _improved)
 _paths("tok_path_set", t.tok_path_set, _set)
 _paths("tok_path_java", t.tok_path_java, lambda c: _long(_split(f"lower({_re(c, '([A-Z])', r' \1')})", r"[/._\-\s]+")))
 _paths("tok_path_components", t.tok_path_components, lambda c: _first_seen(_cat(f"string_split(lower({_py(c)}), '/')", _long(f"flatten(list_transform(string_split(lower({_py(c)}), '/'), lambda y: {_split('y', r'[_\-.]+')}))"))))
 _paths("camel_split_simple", lambda c: F.array(t.split_camel(c)), lambda c: f"[{_camel(c)}]")
 _paths("stem_normalize", lambda c: F.array(t.stem_normalize(c)), lambda c: f"[{_re(_re(_stem(c), '^tests?_', '', ''), '_tests?$', '', '')}]")
 
-_issues("tok_code_v2", t.tok_code_v2, lambda c: _drop(_ident(c), t.STOP + t.CODE_STOP))
-_issues("tok_code_strict", t.tok_code_strict, lambda c: _drop(_ident(c), t.CODE_STOP))
-_issues("tok_code_pystrip", t.tok_code_pystrip, lambda c: _drop(_ident(_re(_re(_re(c, '(?s)""".*?"""', " "), "(?s)''''''.*?''''''", " "), "(?m)#.*$", " ")), t.CODE_STOP))
-_issues("tok_text_stem", t.tok_text_stem, lambda c: _long(f"regexp_extract_all(lower({_camel(c, True)}), '[a-z0-9]+')"))
+_issues("tok_code_v2", t.tok_code_v2, lambda c: _ident(c, t.CODE_V2_STOP))
+_issues("tok_code_strict", t.tok_code_strict, lambda c: _ident(c, t.CODE_STOP))
+_issues("tok_code_pystrip", t.tok_code_pystrip, lambda c: _drop(_long(_camel_words(f"regexp_extract_all({_re(_re(_re(c, '(?m)#.*$', ''), '(?s)""".*?"""', ''), "(?s)''''''.*?''''''", '')}, '[a-zA-Z_][a-zA-Z0-9_]*')")), t.PY_STOP))
+_issues("tok_text_stem", t.tok_text_stem, lambda c: _long(f"regexp_extract_all(lower({_camel(c, True)}), '[a-z][a-z0-9]*')"))
 _issues("tok_issue_basic", t.tok_issue_basic, lambda c: _long(f"regexp_extract_all({_re(f'lower({c})', r'^title:\s*', '', '')}, '[a-z_][a-z0-9_]*')"))
-_issues("tok_issue_improved", t.tok_issue_improved, lambda c: _cat(_issue_words(c), _WHOLE.format(c), _times(_parts(_refs(c)), 2), _dotted(c, 1), _quoted(c)))
-_issues("tok_issue_v2", t.tok_issue_v2, lambda c: _cat(_issue_words(c, 2), _parts(_refs(c)), _quoted(c)))
-_issues("tok_query_strict", t.tok_query_strict, lambda c: _cat(_drop(_ident(c), t.CODE_STOP), _times(_parts(_refs(c)), 3), _quoted(c), _dotted(c, 2)))
-_issues("tok_query_chunk", t.tok_query_chunk, lambda c: _cat(_long(f"regexp_extract_all(lower({_camel(c, True)}), '[a-z0-9]+')"), _times(_parts(_refs(c)), 3), _times(_quoted(c), 2), _times(_dotted(c, 1), 2)))
+_issues("tok_issue_improved", t.tok_issue_improved, lambda c: _drop(_long(_cat(f"regexp_extract_all(lower({c}), '[a-z_][a-z0-9_]*')", _camel_words(_WHOLE.format(c)), _lower(_WHOLE.format(c)), _times(_parts(_refs(c), _improved), 2), _dotted(c, 2), _quoted(c))), t.ISSUE_STOP))
+_issues("tok_issue_v2", t.tok_issue_v2, lambda c: _cat(_drop(_long(_camel_words(f"regexp_extract_all({c}, '[A-Za-z_][A-Za-z0-9_]*')", True), 2), t.CODE_V2_STOP), _long(_parts(_refs(c), _sep4), 2), _drop(_long(_quoted(c), 2), t.CODE_V2_STOP)))
+_issues("tok_query_strict", t.tok_query_strict, lambda c: _cat(_ident(c, t.CODE_STOP), _times(_parts(_refs(c)), 3), _long(_quoted(c)), _dotted(c, 2)))
+_issues("tok_query_chunk", t.tok_query_chunk, lambda c: _cat(_long(f"regexp_extract_all(lower({_camel(c, True)}), '[a-z][a-z0-9]*')"), _times(_ref_parts(c), 3), _times(_quoted_parts(c), 2), _times(_long(_dotted(c, 1)), 2)))
 _TRACE = r"""list_transform(list_distinct(regexp_extract_all({}, 'File "([^"]+\.py)"', 1)), lambda x: regexp_replace(x, '^.*/(?:site-packages|dist-packages|lib)/', ''))"""
 _issues(
     "tok_query_enhanced",
     t.tok_query_enhanced,
     lambda c: _cat(
-        _drop(_ident(c), t.CODE_STOP), _times(_parts(_refs(c)), 4), _times(_quoted(c), 3), _times(_dotted(c, 1), 3),
-        _times(rf"list_transform(regexp_extract_all({c}, '\b\w+(?:Error|Exception|Warning|Failure)\b'), lambda x: lower(x))", 4),
-        _times(rf"list_transform(regexp_extract_all({c}, '\bin (\w+)', 1), lambda x: lower(x))", 2),
-        _times(f"coalesce(flatten(list_transform({_TRACE.format(c)}, lambda y: {_strict(_base('y'))})), [])", 3),
-        _times(rf"list_transform(regexp_extract_all({c}, '\b(?:def|class) (\w+)', 1), lambda x: lower(x))", 3),
+        _ident(c, t.ENHANCED_STOP), _times(_ref_parts(c), 4), _times(_quoted_parts(c), 3), _times(_long(_dotted(c, 1)), 3),
+        _times(_parts(rf"regexp_extract_all({c}, '\b\w+(?:Error|Exception|Warning|Failure)\b')", lambda y: _ident(y, t.ENHANCED_STOP)), 4),
+        _times(_long(_lower(rf"regexp_extract_all({c}, 'in\s+(\w+)', 1)"), 2), 2),
+        _times(_long(_lower(rf"""regexp_extract_all({c}, 'File\s+"[^"]*?(\w+)\.py"', 1)"""), 2), 3),
+        _times(_long(_lower(rf"regexp_extract_all({c}, '(?:def|class)\s+(\w+)', 1)")), 3),
     ),
 )
 _issues("ext_traceback", t.ext_traceback, lambda c: _TRACE.format(c))
@@ -183,12 +199,12 @@ def _chunks(s, d):
     return load(s, d, "documents").select("doc_id", F.posexplode(t.chunk_words("text")).alias("chunk", "c")).select("doc_id", "chunk", F.md5("c").alias("digest"))
 
 
-@query("doc_weight_path3", f"SELECT repo, issue_id, array_to_string({_cat(_times(_strict('path'), 3), _drop(_ident('text'), t.CODE_STOP))}, ' ') AS tokens FROM texts")
+@query("doc_weight_path3", f"SELECT repo, issue_id, array_to_string({_cat(_times(_strict('path'), 3), _ident('text', t.CODE_STOP))}, ' ') AS tokens FROM texts")
 def _path3(s, d):
     return issue_texts(s, d).select("repo", "issue_id", joined(t.doc_weight_path3("path", "text")).alias("tokens"))
 
 
-@query("tok_query_keywords", f"SELECT repo, issue_id, array_to_string({_cat(_times(f'flatten(list_transform([{_stem("path")}, path], lambda y: {_drop(_ident("y"), t.CODE_STOP)}))', 3), _times(_parts('[path]'), 5), _drop(_ident('left(text, 1000)'), t.CODE_STOP))}, ' ') AS tokens FROM texts")
+@query("tok_query_keywords", f"SELECT repo, issue_id, array_to_string({_cat(_times(f'flatten(list_transform([{_stem("path")}, path], lambda y: {_ident("y", t.CODE_STOP)}))', 3), _times(_parts('[path]'), 5), _ident('left(text, 1000)', t.CODE_STOP))}, ' ') AS tokens FROM texts")
 def _keywords(s, d):
     return issue_texts(s, d).select("repo", "issue_id", joined(t.tok_query_keywords("text", F.array(t.stem("path"), F.col("path")))).alias("tokens"))
 
@@ -203,7 +219,7 @@ def _file_mentions(s, d):
     return issue_texts(s, d).select("repo", "issue_id", t.ext_file_mentions("text").alias("m")).select("repo", "issue_id", joined("m.paths").alias("paths"), joined("m.names").alias("names"), joined("m.keywords").alias("keywords"))
 
 
-@query("ext_mentions_simple", rf"SELECT repo, issue_id, array_to_string({_first_seen(r"regexp_extract_all(text, '\w+(?:/\w+)+\.py')")}, ' ') AS paths, array_to_string({_first_seen("regexp_extract_all(text, '[`\"'']([A-Za-z_][A-Za-z0-9_.]*)[`\"'']', 1)")}, ' ') AS quoted FROM texts")
+@query("ext_mentions_simple", rf"SELECT repo, issue_id, array_to_string({_first_seen(r"regexp_extract_all(text, '\w+(?:/\w+)+\.py')")}, ' ') AS paths, array_to_string({_first_seen("regexp_extract_all(text, '[`\"''](\\w+)[`\"'']', 1)")}, ' ') AS quoted FROM texts")
 def _mentions(s, d):
     return issue_texts(s, d).select("repo", "issue_id", t.ext_mentions("text").alias("m")).select("repo", "issue_id", joined("m.paths").alias("paths"), joined("m.quoted").alias("quoted"))
 
