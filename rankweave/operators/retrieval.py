@@ -75,7 +75,33 @@ def normalised(c: str) -> Column:
     return F.when(length > 0, F.transform(c, lambda v: v / length)).otherwise(F.transform(c, lambda v: v.cast("double")))
 
 
+#: Queries whose vectors are broadcast at once: 4 MB of 64 doubles each.
+QUERY_BLOCK = 8192
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, doc, score, rank. queries is a stated, bounded set (``query``, ``v``); vectors (``doc``, ``v``) stream past it."""
-    pairs = vectors.select("doc", normalised("v").alias("v")).crossJoin(F.broadcast(queries.select("query", normalised("v").alias("q"))))
-    return topk(pairs.where("doc <> query").select("query", "doc", F.round(dot("v", "q"), 6).alias("score")), ["query"], k)
+    """query, doc, score, rank. queries is a stated set (``query``, ``v``); vectors (``doc``, ``v``) stream past it.
+
+    The set is counted and taken in blocks of bounded size, however large it is; a block keeps its k best right away.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    asked = queries.select("query", normalised("v").alias("q"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
+    own, out = vectors.select("doc", normalised("v").alias("v")), None
+    for i in range(blocks):
+        pairs = own.crossJoin(F.broadcast(asked.where(F.col("block") == i).drop("block"))).where("doc <> query")
+        best = topk(pairs.select("query", "doc", F.round(dot("v", "q"), 6).alias("score")), ["query"], k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def shared_queries(posts: DataFrame, queries: DataFrame, keys: list[str], query: str) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): queries of one partition with the same indexed terms, equally often, are one group.
+
+    groups: keys, group, tokens; members: query column, keys, group (null where no term is indexed). Texts differ more
+    than what an index knows of them, so there are far fewer groups than queries.
+    """
+    known = posts.select(*keys, "term").distinct()
+    terms = queries.select(*keys, query, F.explode("tokens").alias("term")).join(known, [*keys, "term"])
+    own = terms.groupBy(*keys, query).agg(F.array_sort(F.collect_list("term")).alias("tokens")).withColumn("group", F.sha2(F.array_join("tokens", "\n"), 256))
+    groups = own.groupBy(*keys, "group").agg(F.first("tokens").alias("tokens"))
+    return groups, queries.select(*keys, query).join(own.select(*keys, query, "group"), [*keys, query], "left")

@@ -47,6 +47,16 @@ def wilcoxon(diffs: DataFrame) -> DataFrame:
     return w.withColumn("z", F.try_divide(F.col("w_plus") - mean, F.sqrt(var)))
 
 
+def poisson_cuts() -> list[float]:
+    """Upper ends of the probabilities of 0, 1, 2, ... under Poisson(1)."""
+    cut, total, k = [], 0.0, 0
+    while total < 1 - 1e-9:
+        total += math.exp(-1) / math.factorial(k)
+        cut.append(total)
+        k += 1
+    return cut
+
+
 def bootstrap(values: DataFrame, cluster: str, resamples: int, seed: int = 42) -> DataFrame:
     """n, mean, lo, hi (2.5 % and 97.5 %), p (two-sided, at least 1 / resamples) of resampled means of ``v``.
 
@@ -56,11 +66,7 @@ def bootstrap(values: DataFrame, cluster: str, resamples: int, seed: int = 42) -
     per = values.groupBy(cluster).agg(F.sum("v").alias("s"), F.count("v").alias("n"))
     reps = values.sparkSession.range(resamples).withColumnRenamed("id", "b")
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), cluster, "b")), 1, 8), 16, 10).cast("double") / 4294967296
-    cut, total, k = [], 0.0, 0
-    while total < 1 - 1e-9:
-        total += math.exp(-1) / math.factorial(k)
-        cut.append(total)
-        k += 1
+    cut = poisson_cuts()
     times = F.lit(len(cut) - 1)
     for i in range(len(cut) - 2, -1, -1):
         times = F.when(u < cut[i], i).otherwise(times)

@@ -88,10 +88,15 @@ def _stack(s, d):
     return x.select("issue_id", "path", *cols)
 
 
-@query("tests_last", "SELECT issue_id, path, row_number() OVER (PARTITION BY issue_id ORDER BY contains(path, 'Small'), rank) AS rank FROM ra")
+_MADE = "CASE length(path) % 4 WHEN 0 THEN 'tests/' || path WHEN 1 THEN replace(path, '.py', '_test.py') ELSE path END"
+
+
+@query("tests_last", f"SELECT issue_id, path, row_number() OVER (PARTITION BY issue_id ORDER BY regexp_matches(path, '(?:^|/)(?:tests?|testing)/') OR regexp_matches(string_split(path, '/')[-1], '^test_.*|_test\\.py$|^conftest\\.py$'), rank) AS rank FROM (SELECT issue_id, rank, {_MADE} AS path FROM ra)")
 def _tests_last(s, d):
-    """A stable partition: files of one kind (here, by name) after all others."""
-    return _stable(ranked(s, d, "a"), F.col("path").contains("Small"))
+    """A stable partition: test files after all others. (Half of the made-up files are renamed to tests.)"""
+    made = F.when(F.length("path") % 4 == 0, F.concat(F.lit("tests/"), "path")).when(F.length("path") % 4 == 1, F.replace("path", F.lit(".py"), F.lit("_test.py"))).otherwise(F.col("path"))
+    top = ranked(s, d, "a").withColumn("path", made)
+    return _stable(top, t.is_test_file("path"))
 
 
 def _stable(top, last):
@@ -151,23 +156,38 @@ def _top1(s, d):
 def _gate_sweep(s, d):
     """Hit@1 of gating at 200 thresholds between the 1st and 99th percentile of the gap.
 
-    Issues are counted by threshold cell first, so the sweep is a running sum over 200 cells and not a cross join.
+    Issues are summed by gap and then by the number of thresholds that they pass, so the sweep is a running sum over
+    at most 201 cells.
     """
     h = _top1(s, d)
     q = h.where(F.col("gap") != float("inf")).agg(F.percentile("gap", [0.01, 0.99]).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    grid = s.range(0, 200).select(F.col("id").cast("int").alias("i")).crossJoin(q).select("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 199).alias("at"))
     per = h.groupBy("gap").agg(F.sum("ha").alias("ha"), F.sum("hb").alias("hb"), F.count(F.lit(1)).alias("n"))
-    met = per.crossJoin(F.broadcast(grid)).groupBy("i").agg((F.sum(F.when(F.col("gap") > F.col("at"), F.col("ha")).otherwise(F.col("hb"))) / F.sum("n")).alias("hit1"))
-    return met.select("i", r6(F.col("hit1")).alias("hit1"))
+    passed = F.size(F.filter(F.sequence(F.lit(0), F.lit(199)), lambda i: F.col("gap") > F.col("lo") + (F.col("hi") - F.col("lo")) * i / 199))
+    cells = per.crossJoin(F.broadcast(q)).withColumn("m", passed).groupBy("m").agg(F.sum("ha").alias("ha"), F.sum("hb").alias("hb"), F.sum("n").alias("n"))
+    grid = s.range(0, 201).select(F.col("id").cast("int").alias("m")).join(F.broadcast(cells), "m", "left").na.fill(0)
+    # threshold i is passed by the cells with more than i passed thresholds
+    above, below = Window.orderBy("m").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    met = grid.select(F.col("m").alias("i"), ((F.coalesce(F.sum("ha").over(above), F.lit(0)) + F.sum("hb").over(below)) / F.sum("n").over(Window.orderBy(F.lit(1)))).alias("hit1"))
+    return met.where("i < 200").select("i", r6(F.col("hit1")).alias("hit1"))
 
 
 @query("route_fraction", _GAP + _TOP1 + "SELECT fr, round(avg(CASE WHEN rn <= floor(n * fr / 100) THEN hb ELSE ha END), 6) AS hit1 FROM (SELECT *, row_number() OVER (ORDER BY gap, issue_id) AS rn, count(*) OVER () AS n FROM h) CROSS JOIN (VALUES (0), (25), (50), (100)) v(fr) GROUP BY fr")
 def _route(s, d):
-    """The least confident fraction goes to model b. The rank cut is a percentile of (gap, id), found by one global order of issues."""
-    h = _top1(s, d).withColumn("rn", F.row_number().over(Window.orderBy("gap", "issue_id")))
+    """The least confident fraction goes to model b.
+
+    Issues are counted by gap first; a running count over distinct gaps tells for each whether it is routed as a whole,
+    and only inside the one gap that a cut falls into are issues ordered by id.
+    """
+    h = _top1(s, d)
     fr = s.createDataFrame([(0,), (25,), (50,), (100,)], "fr int")
-    n = h.agg(F.count(F.lit(1)).alias("n"))
-    return h.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(fr)).groupBy("fr").agg(r6(F.avg(F.when(F.col("rn") <= F.floor(F.col("n") * F.col("fr") / 100), F.col("hb")).otherwise(F.col("ha")))).alias("hit1"))
+    per = h.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumns({"to": F.sum("n").over(Window.orderBy("gap")), "all": F.sum("n").over(Window.orderBy(F.lit(1)))})
+    cuts = per.crossJoin(F.broadcast(fr)).withColumn("cut", F.floor(F.col("all") * F.col("fr") / 100))
+    cuts = cuts.select("gap", "fr", F.greatest(F.lit(0).cast("long"), F.least("n", F.col("cut") - (F.col("to") - F.col("n")))).alias("take"), "n")
+    split = F.broadcast(cuts.where("take > 0 AND take < n").select("gap").distinct())
+    inside = h.join(split, "gap").withColumn("rn", F.row_number().over(Window.partitionBy("gap").orderBy("issue_id"))).select("gap", "issue_id", "rn")
+    x = h.join(inside, ["gap", "issue_id"], "left").join(cuts, "gap")
+    return x.groupBy("fr").agg(r6(F.avg(F.when(F.coalesce("rn", F.lit(1)) <= F.col("take"), F.col("hb")).otherwise(F.col("ha")))).alias("hit1"))
 
 
 @query("gate_margin_grid", _GAP + _TOP1 + "SELECT th::INTEGER AS th, round(avg(CASE WHEN gap >= th * 0.05 THEN hb ELSE ha END), 6) AS hit1 FROM h CROSS JOIN range(0, 11) t(th) GROUP BY th")
@@ -417,7 +437,13 @@ def _mcnemar(s, d):
     return st.mcnemar(_two(s, d).select(first("hits").alias("a"), first("hb").alias("b"))).select("n11", "n10", "n01", "n00")
 
 
-@query("mcnemar_p")
+_CHOOSE = "(SELECT sum(round(exp(lgamma(n10 + n01 + 1.0) - lgamma(i + 1.0) - lgamma(n10 + n01 - i + 1.0)))) FROM range(0, least(n10, n01) + 1) r(i))"
+#: erfc, where SQL has none, by its series (small arguments) and its continued fraction.
+_X = "(sqrt(power(abs(n10 - n01) - 1, 2) / (n10 + n01) / 2))"
+_ERFC = f"CASE WHEN {_X} < 2 THEN 1 - 2 / sqrt(pi()) * exp(-{_X} * {_X}) * (SELECT sum(exp(i * ln(2.0) + (2 * i + 1) * ln({_X} + 1e-300) - (lgamma(2 * i + 2.0) - i * ln(2.0) - lgamma(i + 1.0)))) FROM range(0, 80) r(i)) ELSE exp(-{_X} * {_X}) / sqrt(pi()) / list_reduce(list_reverse(list_transform(range(1, 80), lambda i: i / 2.0)), lambda acc, h: {_X} + h / acc, {_X}) END"
+
+
+@query("mcnemar_p", _FB + f", z AS (SELECT coalesce(hits[1], 99) <= 1 AS a, coalesce(hb[1], 99) <= 1 AS b FROM x), c AS (SELECT count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM z) SELECT n11, n10, n01, n00, round(CASE WHEN n10 + n01 = 0 THEN 1.0 WHEN n10 + n01 < 25 THEN least(1.0, 2 * {_CHOOSE} / power(2, n10 + n01)) ELSE {_ERFC} END, 6)::DOUBLE AS p FROM c")
 def _mcnemar_p(s, d):
     first = lambda c: F.coalesce(F.array_min(c), F.lit(99)) <= 1
     return st.mcnemar(_two(s, d).select(first("hits").alias("a"), first("hb").alias("b")))
@@ -462,21 +488,23 @@ def _did(s, d):
     return g.agg(r6(mean("va", 1) - mean("vb", 1) - (mean("va", 0) - mean("vb", 0))).alias("did"))
 
 
-@query("bootstrap_paired")
-def _boot(s, d):
-    return st.bootstrap(_diff(s, d).select("issue_id", (F.col("va") - F.col("vb")).alias("v")), "issue_id", 200)
-
-
-@query("bootstrap_mean")
-def _boot_mean(s, d):
-    return st.bootstrap(_diff(s, d).select("issue_id", F.col("va").alias("v")), "issue_id", 200)
+def _boot_sql(cluster: str, v: str, n: int) -> str:
+    """The same resamples in SQL: multiplicities are drawn from the same md5."""
+    cut = st.poisson_cuts()
+    times = "CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {i}" for i, c in enumerate(cut[:-1])) + f" ELSE {len(cut) - 1} END"
+    return _DIFF + f""", per AS (SELECT {cluster} AS k, sum({v}) AS s, count({v}) AS n FROM y GROUP BY {cluster}),
+u AS (SELECT b, s, n, ('0x' || left(md5('42|' || k || '|' || b), 8))::BIGINT / 4294967296 AS u FROM per CROSS JOIN range(0, {n}) r(b)),
+m AS (SELECT b, sum(t * s) / nullif(sum(t * n), 0) AS m FROM (SELECT *, {times} AS t FROM u) GROUP BY b),
+e AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg((m <= 0)::INTEGER) AS below, avg((m >= 0)::INTEGER) AS above FROM m)
+SELECT (SELECT sum(n) FROM per)::BIGINT AS n, round((SELECT sum(s) / sum(n) FROM per), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(greatest({1 / n}::DOUBLE, least(1.0::DOUBLE, 2 * least(below, above))), 6) AS p FROM e"""
 
 
-@query("bootstrap_cluster")
-def _boot_cluster(s, d):
-    return st.bootstrap(_diff(s, d).select("repo", (F.col("va") - F.col("vb")).alias("v")), "repo", 500)
+def _bootstrap(name: str, cluster: str, paired: bool, n: int) -> None:
+    v = "va - vb" if paired else "va"
+    query(name, _boot_sql(cluster, v, n))(lambda s, d: st.bootstrap(_diff(s, d).select(cluster, F.expr(v).alias("v")), cluster, n))
 
 
-@query("bootstrap_repo_ci")
-def _boot_repo(s, d):
-    return st.bootstrap(_diff(s, d).select("repo", F.col("va").alias("v")), "repo", 500)
+_bootstrap("bootstrap_paired", "issue_id", True, 200)
+_bootstrap("bootstrap_mean", "issue_id", False, 200)
+_bootstrap("bootstrap_cluster", "repo", True, 10_000)
+_bootstrap("bootstrap_repo_ci", "repo", False, 10_000)

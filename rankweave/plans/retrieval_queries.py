@@ -152,13 +152,26 @@ bm AS (SELECT issue_id, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qtf
 """
 
 
-@query("bm25_path_index", "+" + _PATHDOCS + "SELECT issue_id, path, rank FROM (SELECT issue_id, doc AS path, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, doc) AS rank FROM bm) WHERE rank <= 20")
+@query("bm25_path_index", "+" + _PATHDOCS + ", f20 AS (SELECT repo, path FROM (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM files) WHERE n <= 40), z AS (SELECT issue_id, doc AS path, score FROM bm UNION ALL SELECT t.issue_id, f.path, 0 FROM texts t JOIN f20 f USING (repo) WHERE (SELECT count(*) FROM bm WHERE bm.issue_id = t.issue_id) < 20 AND NOT EXISTS (SELECT 1 FROM bm WHERE bm.issue_id = t.issue_id AND bm.doc = f.path)) SELECT issue_id, path, rank FROM (SELECT issue_id, path, row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, path) AS rank FROM z) WHERE rank <= 20")
 def _path_index(s, d):
-    """One index of path tokens a repo; every issue text against its repo's files."""
-    docs = files(s, d).withColumnRenamed("path", "doc")
+    """One index of path tokens a repo; every issue text against its repo's files.
+
+    A list that matches fill short of twenty goes on with the repo's first files in order, as does one of an issue
+    without any match. Issues that ask a repo's index for the same terms share one list.
+    """
+    every = files(s, d)
+    posts = r.postings(every.withColumnRenamed("path", "doc"), t.tok_path_strict("doc"), ["repo"])
     asked = issue_texts(s, d).select("repo", "issue_id", t.tok_issue_basic("text").alias("tokens"))
-    scored = r.bm25(r.postings(docs, t.tok_path_strict("doc"), ["repo"]), asked, ["repo"], ["issue_id"])
-    return r.topk(scored, ["issue_id"], 20).select("issue_id", F.col("doc").alias("path"), F.col("rank").cast("long").alias("rank"))
+    groups, members = r.shared_queries(posts, asked, ["repo"], "issue_id")
+    scored = r.topk(r.bm25(posts, groups, ["repo"], ["repo", "group"]), ["repo", "group"], 20).drop("rank")
+    first = every.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("path"))).where("n <= 40").select("repo", F.col("path").alias("doc"))
+    short = groups.select("repo", "group").join(scored.groupBy("repo", "group").agg(F.count(F.lit(1)).alias("n")), ["repo", "group"], "left").where("coalesce(n, 0) < 20").select("repo", "group")
+    fill = short.join(first, "repo").join(scored.select("repo", "group", "doc"), ["repo", "group", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    lists = r.topk(scored.unionByName(fill.select(*scored.columns)), ["repo", "group"], 20)
+    matched = members.where("group IS NOT NULL").join(lists, ["repo", "group"]).select("issue_id", "doc", "rank")
+    order = first.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy("doc"))).where("rank <= 20")
+    empty = members.where("group IS NULL").join(order, "repo").select("issue_id", "doc", "rank")
+    return matched.unionByName(empty).select("issue_id", F.col("doc").alias("path"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("freq_rank", "SELECT repo, path, n, row_number() OVER (PARTITION BY repo ORDER BY n DESC, path) AS rank FROM (SELECT repo, path, count(DISTINCT issue_id) AS n FROM changes WHERE split = 'train' GROUP BY ALL)")
@@ -233,9 +246,14 @@ def _lookup(s, d):
 
 @plain("join_asof", "SELECT o_orderkey, arg_max(event_id, (ts, event_id)) AS event_id FROM orders JOIN events ON events.user_id = o_custkey % 50 AND ts <= o_orderdate + INTERVAL 9000 DAY GROUP BY o_orderkey")
 def _asof(s, d):
-    """Newest event of the order's user at or before a moment: an equi-join on the user, then max_by time."""
-    o = load(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("user_id"), F.expr("o_orderdate + INTERVAL 9000 DAY").alias("at"))
-    return o.join(load(s, d, "events").select("user_id", "event_id", "ts"), "user_id").where("ts <= at").groupBy("o_orderkey").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """Newest event of the order's user at or before a moment, by one window over the merged timelines: no pair is formed."""
+    none = F.lit(None)
+    o = load(s, d, "orders").select((F.col("o_custkey") % 50).alias("user_id"), F.expr("o_orderdate + INTERVAL 9000 DAY").alias("ts"), "o_orderkey", none.cast("long").alias("event_id"))
+    e = load(s, d, "events").select("user_id", "ts", none.cast("long").alias("o_orderkey"), "event_id")
+    # of events at one moment the largest id is last; orders come after the events of their moment
+    order = Window.partitionBy("user_id").orderBy("ts", F.col("event_id").isNull(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    merged = o.unionByName(e).withColumn("found", F.last("event_id", ignorenulls=True).over(order))
+    return merged.where("o_orderkey IS NOT NULL AND found IS NOT NULL").select("o_orderkey", F.col("found").alias("event_id"))
 
 
 @query("asof_commit", "SELECT i.repo, i.issue_id, max(c.ts) AS commit_ts FROM issues i JOIN (SELECT DISTINCT repo, ts FROM issues WHERE priority = '1-URGENT') c ON c.repo = i.repo AND c.ts <= i.ts GROUP BY ALL")

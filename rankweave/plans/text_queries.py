@@ -214,7 +214,10 @@ def _mention(s, d):
     return issue_texts(s, d).select("repo", "issue_id", t.has_file_mention(F.col("text"), F.array("path")).alias("mentioned"))
 
 
-@query("ext_file_mentions")
+_MENTIONED = f"m AS (SELECT repo, issue_id, ['packages/' || path, path] AS paths, [{_base('path')}] AS names, list_sort(list_distinct(['crash', 'keyerror', 'repo', 'title', lower({_stem('path')}), regexp_extract(lower({_stem('path')}), '^[a-z]+')])) AS keywords FROM texts)"
+
+
+@query("ext_file_mentions", "+" + _MENTIONED + " SELECT repo, issue_id, array_to_string(paths, ' ') AS paths, array_to_string(names, ' ') AS names, array_to_string(keywords, ' ') AS keywords FROM m")
 def _file_mentions(s, d):
     return issue_texts(s, d).select("repo", "issue_id", t.ext_file_mentions("text").alias("m")).select("repo", "issue_id", joined("m.paths").alias("paths"), joined("m.names").alias("names"), joined("m.keywords").alias("keywords"))
 
@@ -224,7 +227,7 @@ def _mentions(s, d):
     return issue_texts(s, d).select("repo", "issue_id", t.ext_mentions("text").alias("m")).select("repo", "issue_id", joined("m.paths").alias("paths"), joined("m.quoted").alias("quoted"))
 
 
-@query("ext_paths_delimited")
+@query("ext_paths_delimited", f"SELECT repo, issue_id, '/usr/lib/site-packages/' || path || ' ' || path || ' ' || {_base('path')} AS paths FROM texts")
 def _delimited(s, d):
     return issue_texts(s, d).select("repo", "issue_id", joined(t.ext_paths_delimited("text")).alias("paths"))
 
@@ -316,7 +319,7 @@ def _log(s, d):
     return issue_texts(s, d).select("repo", "issue_id", r6(t.overlap_log(words, t.tok_path_set("path"))).alias("score"))
 
 
-@query("score_text_candidate")
+@query("score_text_candidate", "+" + _MENTIONED + f", h AS (SELECT c.repo, c.issue_id, c.path, paths, names, len(list_intersect(list_distinct({_set('c.path')}), keywords)) AS hits FROM changes c JOIN m USING (repo, issue_id)) SELECT repo, issue_id, path, round((CASE WHEN list_contains(paths, path) THEN 2.0 ELSE len(list_filter(paths, lambda p: ends_with(path, p) OR ends_with(p, path))) END + CASE WHEN list_contains(names, {_base('path')}) THEN 1.5 ELSE 0.0 END + 0.3 * hits) * CASE WHEN hits >= 2 THEN 1.3 ELSE 1.0 END, 6)::DOUBLE AS score FROM h")
 def _text_score(s, d):
     texts = issue_texts(s, d).withColumn("m", t.ext_file_mentions("text")).select("repo", "issue_id", "m")
     ch = changes(s, d).select("repo", "issue_id", "path")

@@ -94,16 +94,16 @@ def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 parts AS (SELECT p_partkey, lower(p_type) || '/' || replace(lower(p_brand), '#', '_') || '/' || upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:]
                  || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || '_' || p_partkey || '.py' AS path FROM part),
-issues AS (SELECT 'r' || c_nationkey AS repo, o_orderkey::VARCHAR AS issue_id, o_orderdate AS ts, o_custkey AS customer, o_orderpriority AS priority,
+issues AS MATERIALIZED (SELECT 'r' || c_nationkey AS repo, o_orderkey::VARCHAR AS issue_id, o_orderdate AS ts, o_custkey AS customer, o_orderpriority AS priority,
                   CASE WHEN o_orderdate < '{VAL_FROM}' THEN 'train' WHEN o_orderdate < '{TEST_FROM}' THEN 'val' ELSE 'test' END AS split
            FROM orders JOIN customer ON o_custkey = c_custkey),
-changes AS (SELECT DISTINCT repo, issue_id, path, split, customer, ts, p_partkey FROM lineitem JOIN issues ON l_orderkey::VARCHAR = issue_id JOIN parts ON l_partkey = p_partkey),
-files AS (SELECT DISTINCT repo, path FROM changes),
+changes AS MATERIALIZED (SELECT DISTINCT repo, issue_id, path, split, customer, ts, p_partkey FROM lineitem JOIN issues ON l_orderkey::VARCHAR = issue_id JOIN parts ON l_partkey = p_partkey),
+files AS MATERIALIZED (SELECT DISTINCT repo, path FROM changes),
 pool AS (SELECT repo, issue_id, path FROM (SELECT DISTINCT customer, path FROM changes) JOIN issues USING (customer)
          WHERE ('0x' || left(md5('pool|' || issue_id || '|' || path), 6))::BIGINT / 16777216 < 0.8),
 scored AS (SELECT pool.*, m, round(('0x' || left(md5(m || '|' || pool.issue_id || '|' || pool.path), 6))::BIGINT / 16777216 + CASE WHEN g.path IS NULL THEN 0.0 ELSE lift END, 6) AS score, g.path IS NOT NULL AS gt
            FROM pool CROSS JOIN (VALUES ('a', 0.5::DOUBLE), ('b', 0.35::DOUBLE), ('c', 0.2::DOUBLE)) v(m, lift) LEFT JOIN (SELECT issue_id, path FROM changes) g ON g.issue_id = pool.issue_id AND g.path = pool.path),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, issue_id ORDER BY score DESC, path) AS rank FROM scored) WHERE rank <= {LIST}),
+ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, issue_id ORDER BY score DESC, path) AS rank FROM scored) WHERE rank <= {LIST}),
 ra AS (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'a'),
 rb AS (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'b'),
 rc AS (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'c'),

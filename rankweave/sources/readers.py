@@ -58,3 +58,8 @@ def sink_beir(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, folder: s
     corpus.write.mode("errorifexists").json(f"{folder}/corpus")
     queries.write.mode("errorifexists").json(f"{folder}/queries")
     qrels.write.mode("errorifexists").option("sep", "\t").option("header", "true").csv(f"{folder}/qrels")
+
+
+def sink_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header in every part; refuses a used folder."""
+    rows.write.mode("errorifexists").option("header", "true").csv(path)
