@@ -227,7 +227,12 @@ def _edges(s, d):
 # ---- negatives and challenges -------------------------------------------------------------------------
 
 
-@query("join_theta_overlap", f"+k AS (SELECT c.issue_id, f.path, min(CASE WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} AND {_KIND.format('f.path')} = {_KIND.format('c.path')} THEN 0 WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} THEN 1 ELSE 2 END) AS kind FROM changes c JOIN files f ON f.repo = c.repo AND ({_DIR.format('f.path')} = {_DIR.format('c.path')} OR {_KIND.format('f.path')} = {_KIND.format('c.path')}) WHERE NOT EXISTS (SELECT 1 FROM changes z WHERE z.issue_id = c.issue_id AND z.path = f.path) GROUP BY ALL) SELECT issue_id, path, kind FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, path) AS r FROM k) WHERE r <= 5")
+_NAMED = f"(SELECT repo, path, {_DIR.format('path')} AS dir, {_KIND.format('path')} AS name FROM files)"
+#: Pairs of files of one directory or of one name, found by two equi-joins.
+_EITHER = f"SELECT x.repo, x.path AS own, y.path FROM {_NAMED} x JOIN {_NAMED} y ON x.repo = y.repo AND x.dir = y.dir UNION SELECT x.repo, x.path, y.path FROM {_NAMED} x JOIN {_NAMED} y ON x.repo = y.repo AND x.name = y.name"
+
+
+@query("join_theta_overlap", f"+k AS (SELECT c.issue_id, f.path, min(CASE WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} AND {_KIND.format('f.path')} = {_KIND.format('c.path')} THEN 0 WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} THEN 1 ELSE 2 END) AS kind FROM changes c JOIN ({_EITHER}) e ON e.repo = c.repo AND e.own = c.path JOIN files f ON f.repo = e.repo AND f.path = e.path WHERE NOT EXISTS (SELECT 1 FROM changes z WHERE z.issue_id = c.issue_id AND z.path = f.path) GROUP BY ALL) SELECT issue_id, path, kind FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, path) AS r FROM k) WHERE r <= 5")
 def _theta(s, d):
     """Files that are easily taken for a true one: the same directory and name, the same directory, the same name.
 
@@ -368,7 +373,7 @@ def _cc_sweep(s, d):
     return x.select("hit", F.explode(marks).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("hit").cast("int"))).alias("hit1"))
 
 
-@query("pool_confusable", f"+k AS (SELECT c.issue_id, f.path, min(CASE WHEN f.path = c.path THEN 0 WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} THEN 1 ELSE 2 END) AS kind FROM changes c JOIN files f ON f.repo = c.repo AND ({_DIR.format('f.path')} = {_DIR.format('c.path')} OR {_KIND.format('f.path')} = {_KIND.format('c.path')}) GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, path) AS r FROM k) SELECT issue_id, path, kind FROM z WHERE r <= 20 AND issue_id IN (SELECT issue_id FROM z GROUP BY issue_id HAVING count(*) >= 3)")
+@query("pool_confusable", f"+k AS (SELECT c.issue_id, f.path, min(CASE WHEN f.path = c.path THEN 0 WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} THEN 1 ELSE 2 END) AS kind FROM changes c JOIN ({_EITHER}) e ON e.repo = c.repo AND e.own = c.path JOIN files f ON f.repo = e.repo AND f.path = e.path GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, path) AS r FROM k) SELECT issue_id, path, kind FROM z WHERE r <= 20 AND issue_id IN (SELECT issue_id FROM z GROUP BY issue_id HAVING count(*) >= 3)")
 def _pool_confusable(s, d):
     """The true files, then files of their directories, then of their names, twenty in all; no pool of fewer than three."""
     true = changes(s, d).select(*KEY, "path", F.lit(0).alias("kind"))
