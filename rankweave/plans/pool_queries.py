@@ -232,7 +232,7 @@ _NAMED = f"(SELECT repo, path, {_DIR.format('path')} AS dir, {_KIND.format('path
 _EITHER = f"SELECT x.repo, x.path AS own, y.path FROM {_NAMED} x JOIN {_NAMED} y ON x.repo = y.repo AND x.dir = y.dir UNION SELECT x.repo, x.path, y.path FROM {_NAMED} x JOIN {_NAMED} y ON x.repo = y.repo AND x.name = y.name"
 
 
-@query("join_theta_overlap", f"+k AS (SELECT c.issue_id, f.path, min(CASE WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} AND {_KIND.format('f.path')} = {_KIND.format('c.path')} THEN 0 WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} THEN 1 ELSE 2 END) AS kind FROM changes c JOIN ({_EITHER}) e ON e.repo = c.repo AND e.own = c.path JOIN files f ON f.repo = e.repo AND f.path = e.path WHERE NOT EXISTS (SELECT 1 FROM changes z WHERE z.issue_id = c.issue_id AND z.path = f.path) GROUP BY ALL) SELECT issue_id, path, kind FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, path) AS r FROM k) WHERE r <= 5")
+@query("join_theta_overlap", f"+k AS (SELECT c.issue_id, f.path, min(CASE WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} AND {_KIND.format('f.path')} = {_KIND.format('c.path')} THEN 0 WHEN {_DIR.format('f.path')} = {_DIR.format('c.path')} THEN 1 ELSE 2 END) AS kind FROM changes c JOIN ({_EITHER}) e ON e.repo = c.repo AND e.own = c.path JOIN files f ON f.repo = e.repo AND f.path = e.path GROUP BY ALL) SELECT issue_id, path, kind FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, path) AS r FROM k ANTI JOIN changes USING (issue_id, path)) WHERE r <= 5")
 def _theta(s, d):
     """Files that are easily taken for a true one: the same directory and name, the same directory, the same name.
 
