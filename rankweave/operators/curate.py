@@ -36,3 +36,48 @@ def digest(rows: DataFrame, *keys: str) -> DataFrame:
     """One SHA-256 of each group: row hashes, sorted, hashed again, so partitioning and order don't show."""
     each = rows.select(*keys, F.sha2(F.concat_ws("|", *(c for c in rows.columns)), 256).alias("h"))
     return each.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+
+
+def _suffixes(path: str) -> Column:
+    """(k, the last k components) for every k."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/").alias("suffix")))
+
+
+def resolve_aliases(old: DataFrame, current: DataFrame, most: float = 0.4) -> DataFrame:
+    """repo, old, path: where a file of old(repo, old) is now among current(repo, path, readable); null if nowhere.
+
+    The current file with the longest run of trailing components in common, of those the shortest, then the first. If
+    that one can't be read, the file of the same name at the least edit distance, if it can be read and the distance is
+    under ``most`` of the old path's length. Suffixes meet by equality and only the best file of a suffix is joined, so
+    a name that thousands of files have costs no pairs; files are compared one by one only for unreadable matches.
+    """
+    old = old.distinct()
+    ends = current.select("repo", "path", "readable", F.explode(_suffixes("path")).alias("e"))
+    ends = ends.groupBy("repo", F.col("e.suffix").alias("suffix")).agg(F.min(F.struct(F.length("path").alias("n"), "path", "readable")).alias("at"))
+    asked = old.select("repo", "old", F.explode(_suffixes("old")).alias("e")).select("repo", "old", F.col("e.k").alias("k"), F.col("e.suffix").alias("suffix"))
+    met = asked.join(ends, ["repo", "suffix"]).groupBy("repo", "old").agg(F.max_by("at", "k").alias("at"))
+    name = lambda c: F.substring_index(c, "/", -1).alias("name")
+    lost = met.where("NOT at.readable").select("repo", "old", name("old"))
+    near = lost.join(current.select("repo", "path", "readable", name("path")), ["repo", "name"])
+    near = near.groupBy("repo", "old").agg(F.min(F.struct(F.levenshtein("old", "path").alias("far"), "path", "readable")).alias("near"))
+    found = F.when(F.col("at.readable"), F.col("at.path")).when(F.col("near.readable") & (F.col("near.far") < most * F.length("old")), F.col("near.path"))
+    return old.join(met, ["repo", "old"], "left").join(near, ["repo", "old"], "left").select("repo", "old", found.alias("path"))
+
+
+def sampled_pairs(edges: DataFrame, files: DataFrame, ratio: int, draws: int) -> DataFrame:
+    """repo, a, b, y: the edges (a < b) as 1 and up to ``ratio`` times as many pairs of the repo's files without one as 0.
+
+    Every edge draws ``draws`` pairs of places in its repo's sorted files from md5, so candidates grow with the edges and
+    not with the squared number of files; repeated pairs, edges and pairs of one file drop out.
+    """
+    places = files.select("repo", "path").distinct().withColumn("i", F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1)
+    number = places.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    place = lambda end: F.conv(F.left(F.md5(F.concat_ws("|", "repo", "a", "b", F.col("k").cast("string"), F.lit(end))), F.lit(6)), 16, 10).cast("long") % F.col("n")
+    drawn = edges.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).join(number, "repo").select("repo", place("x").alias("i"), place("y").alias("j")).where("i <> j")
+    first = drawn.join(places.withColumnRenamed("path", "p"), ["repo", "i"]).join(places.select("repo", F.col("i").alias("j"), F.col("path").alias("q")), ["repo", "j"])
+    pairs = first.select("repo", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(edges, ["repo", "a", "b"], "left_anti")
+    order = Window.partitionBy("repo").orderBy(F.md5(F.concat_ws("|", "repo", "a", "b")), "a", "b")
+    most = edges.groupBy("repo").agg((F.count(F.lit(1)) * ratio).alias("most"))
+    none = pairs.withColumn("r", F.row_number().over(order)).join(most, "repo").where("r <= most")
+    return edges.select("repo", "a", "b", F.lit(1).alias("y")).unionByName(none.select("repo", "a", "b", F.lit(0).alias("y")))

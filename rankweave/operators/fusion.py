@@ -88,3 +88,23 @@ def gated(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """List a where its gap is over the threshold, else list b."""
     g = gap(a)
     return a.join(g.where(F.col("gap") > threshold).select(*KEY), list(KEY), "left_semi").unionByName(b.join(g.where(F.col("gap") <= threshold).select(*KEY), list(KEY), "left_semi"))
+
+
+def testpair_boost(ranked: DataFrame, factor: float = 0.5) -> DataFrame:
+    """ranked with ``factor`` times the score of a file's test or source in the same list added, if that is positive.
+
+    ``x_test.py`` belongs to ``x.py`` beside it, ``test_x.py`` to ``x.py`` beside it or, failing that, a folder up. A
+    file that is a test takes its source's score; one with several tests takes that of the last in the list.
+    """
+    name, folder = F.substring_index("path", "/", -1), F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    up = F.regexp_extract(folder, "^(.*)/[^/]*$", 1)
+    put = lambda d, n: F.when(d == "", n).otherwise(F.concat(d, F.lit("/"), n))
+    bare = F.regexp_replace(name, "^test_", "")
+    where = F.when(name.contains("_test.py"), F.array(put(folder, F.replace(name, F.lit("_test.py"), F.lit(".py"))))).when(name.startswith("test_"), F.array(put(folder, bare), put(up, bare)))
+    asked = ranked.select(*KEY, F.col("path").alias("test"), F.col("rank").alias("at"), F.col("score").alias("test_score"), F.posexplode(where).alias("i", "path"))
+    pairs = asked.join(ranked.select(*KEY, "path", "score"), [*KEY, "path"]).groupBy(*KEY, "test", "at", "test_score").agg(F.min(F.struct("i", "path", "score")).alias("source"))
+    of_test = pairs.select(*KEY, F.col("test").alias("path"), F.col("source.score").alias("own"))
+    of_source = pairs.groupBy(*KEY, F.col("source.path").alias("path")).agg(F.max_by("test_score", "at").alias("other"))
+    both_ways = ranked.join(of_test, [*KEY, "path"], "left").join(of_source, [*KEY, "path"], "left")
+    pair = F.coalesce("own", "other")
+    return both_ways.withColumn("score", F.col("score") + factor * F.when(pair > 0, pair).otherwise(0.0)).select(*ranked.columns)

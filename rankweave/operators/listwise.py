@@ -39,3 +39,37 @@ def sliding_rerank(ranked: DataFrame, order: Callable[[pd.DataFrame], list[int]]
         return out
 
     return ranked.groupBy("repo", "issue_id").applyInPandas(one, "repo string, issue_id string, path string, rank long")
+
+
+def promote(paths: list[str], relevance: list[float], original: int, top5: int = 1, top10: int = 2, threshold: float = 0.3) -> list[str]:
+    """paths with files past the first ``original`` moved up by relevance (of equal ones the earlier first).
+
+    Up to ``top5`` of them that reach the threshold go behind the original ones, at the fifth place at the latest; then
+    up to ``top10`` others that reach 0.7 of it and stand past the fifth place go to the sixth and the next.
+    """
+    out, moved = list(paths), set()
+    best = sorted(zip(paths[original:], relevance[original:]), key=lambda x: -x[1])
+
+    def raise_(most: int, least: float, past: int, first: int, last: int) -> None:
+        n = 0
+        for path, score in best:
+            if n < most and path not in moved and score >= least and path in out[past:]:
+                out.remove(path)
+                out.insert(min(first + n, last), path)
+                moved.add(path)
+                n += 1
+
+    raise_(top5, threshold, original, original, 4)
+    raise_(top10, threshold * 0.7, 5, 5, 9)
+    return out
+
+
+def promoted(ranked: DataFrame, original: int, **limits) -> DataFrame:
+    """repo, issue_id, path, rank after ``promote``. ranked: repo, issue_id, path, rank, relevance; a list is one group."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        out = promote(list(rows["path"]), list(rows["relevance"]), original, **limits)
+        return pd.DataFrame({"repo": rows["repo"].iloc[0], "issue_id": rows["issue_id"].iloc[0], "path": out, "rank": range(1, len(out) + 1)})
+
+    return ranked.groupBy("repo", "issue_id").applyInPandas(one, "repo string, issue_id string, path string, rank long")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from rankweave.functions import text as t
 from rankweave.operators import curate as c
 from rankweave.operators import perturb as p
-from rankweave.sources.fixtures import changes, files, imports, issue_texts, issues, ranked
+from rankweave.sources.fixtures import changes, draw, files, imports, issue_texts, issues, ranked
 
 from .base import joined, query
 
@@ -114,21 +114,35 @@ def _sampler(s, d):
     return c.quota(side("a", "bm25").unionByName(side("b", "dense")), {"bm25": 4, "dense": 2}).select("issue_id", "path", "source")
 
 
-@query("neg_confusable", f"+g AS (SELECT repo, issue_id, min(path) AS g FROM changes GROUP BY ALL), k AS (SELECT r.issue_id, r.path, r.rank, CASE WHEN {_DIR.format('r.path')} = {_DIR.format('g')} THEN 1 WHEN split_part({_BASE.format('r.path')}, '_', 1) = split_part({_BASE.format('g')}, '_', 1) THEN 2 END AS kind FROM ra r JOIN g USING (issue_id) WHERE NOT r.gt) SELECT issue_id, path, kind FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY kind, rank) AS n FROM k WHERE kind IS NOT NULL) WHERE n <= 8")
+_STEM = "split_part(" + _BASE.format("{0}") + ", '_', 1)"
+
+
+@query("neg_confusable", f"+k AS (SELECT r.issue_id, g.path AS truth, r.path, r.rank, CASE WHEN {_DIR.format('r.path')} = {_DIR.format('g.path')} AND {_STEM.format('r.path')} = {_STEM.format('g.path')} THEN 1 WHEN {_DIR.format('r.path')} = {_DIR.format('g.path')} THEN 2 WHEN {_STEM.format('r.path')} = {_STEM.format('g.path')} THEN 3 END AS kind FROM ra r JOIN changes g USING (issue_id) WHERE NOT r.gt) SELECT issue_id, truth, path, kind FROM (SELECT *, row_number() OVER (PARTITION BY issue_id, truth ORDER BY kind, rank) AS n FROM k WHERE kind IS NOT NULL) WHERE n <= 8")
 def _confusable(s, d):
-    g = changes(s, d).groupBy(*KEY).agg(F.min("path").alias("g"))
-    name = lambda x: F.split_part(t.basename(x), F.lit("_"), F.lit(1))
-    kind = F.when(t.dirname("path") == t.dirname("g"), 1).when(name("path") == name("g"), 2)
-    k = ranked(s, d, "a").where("NOT gt").join(g, KEY).withColumn("kind", kind).where("kind IS NOT NULL")
-    return k.withColumn("n", F.row_number().over(Window.partitionBy("issue_id").orderBy("kind", "rank"))).where("n <= 8").select("issue_id", "path", "kind")
+    """Up to eight wrong candidates for every true file: of its folder and stem, of its folder, of its stem, in list order.
+
+    Candidates and true files meet by folder and by stem, not each with each.
+    """
+    marks = lambda p: (t.dirname(p).alias("dir"), F.split_part(t.basename(p), F.lit("_"), F.lit(1)).alias("stem"))
+    true = changes(s, d).select(*KEY, F.col("path").alias("truth"), *marks("path"))
+    wrong = ranked(s, d, "a").where("NOT gt").select(*KEY, "path", "rank", *marks("path"))
+    by_dir = true.join(wrong.withColumnRenamed("stem", "other"), [*KEY, "dir"]).select(*KEY, "truth", "path", "rank", F.when(F.col("stem") == F.col("other"), 1).otherwise(2).alias("kind"))
+    by_stem = true.join(wrong.withColumnRenamed("dir", "other"), [*KEY, "stem"]).where("dir <> other").select(*KEY, "truth", "path", "rank", F.lit(3).alias("kind"))
+    order = Window.partitionBy("issue_id", "truth").orderBy("kind", "rank")
+    return by_dir.unionByName(by_stem).withColumn("n", F.row_number().over(order)).where("n <= 8").select("issue_id", "truth", "path", "kind")
+
+
+_ON_DISK = "('0x' || left(md5('disk|' || repo || '|' || path), 6))::BIGINT / 16777216 >= 0.1"
 
 
-@query("clean_rows", "+x AS (SELECT i.issue_id, coalesce(n_gt, 0) AS n_gt, coalesce(n, 0) AS n, coalesce(h, 0) AS h FROM issues i LEFT JOIN (SELECT issue_id, count(*) AS n_gt FROM changes GROUP BY ALL) USING (issue_id) LEFT JOIN (SELECT issue_id, count(*) AS n, count(*) FILTER (gt) AS h FROM ra GROUP BY ALL) USING (issue_id)) SELECT CASE WHEN n_gt = 0 THEN 'empty_gt' WHEN n < 5 THEN 'few_candidates' WHEN h = 0 THEN 'gt_not_in_candidates' ELSE 'kept' END AS reason, count(*) AS n FROM x GROUP BY 1")
+@query("clean_rows", f"+g AS (SELECT issue_id, count(*) AS n_gt, count(*) FILTER ({_ON_DISK}) AS here FROM changes GROUP BY ALL), p AS (SELECT issue_id, count(*) AS n, count(*) FILTER (gt AND {_ON_DISK}) AS h, count(*) FILTER (NOT ({_ON_DISK})) AS gone FROM ra GROUP BY ALL) SELECT CASE WHEN n_gt IS NULL THEN 'empty_gt' WHEN here = 0 THEN 'no_gt_on_disk' WHEN coalesce(n, 0) < 5 THEN 'few_candidates' WHEN h = 0 THEN 'gt_not_in_candidates' WHEN gone > 5 THEN 'candidates_missing' ELSE 'kept' END AS reason, count(*) AS n FROM issues LEFT JOIN g USING (issue_id) LEFT JOIN p USING (issue_id) GROUP BY 1")
 def _clean(s, d):
-    gt = changes(s, d).groupBy("issue_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    pool = ranked(s, d, "a").groupBy("issue_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("gt").alias("h"))
+    """The first of five reasons against an issue's row. A file of the made-up repos is on disk or not by a hash."""
+    disk = draw(F.lit("disk"), "repo", "path") >= 0.1
+    gt = changes(s, d).groupBy("issue_id").agg(F.count(F.lit(1)).alias("n_gt"), F.count_if(disk).alias("here"))
+    pool = ranked(s, d, "a").groupBy("issue_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gt") & disk).alias("h"), F.count_if(~disk).alias("gone"))
     x = issues(s, d).select("issue_id").join(gt, "issue_id", "left").join(pool, "issue_id", "left").na.fill(0)
-    why = c.reasons(("empty_gt", F.col("n_gt") == 0), ("few_candidates", F.col("n") < 5), ("gt_not_in_candidates", F.col("h") == 0))
+    why = c.reasons(("empty_gt", F.col("n_gt") == 0), ("no_gt_on_disk", F.col("here") == 0), ("few_candidates", F.col("n") < 5), ("gt_not_in_candidates", F.col("h") == 0), ("candidates_missing", F.col("gone") > 5))
     return x.groupBy(F.coalesce(why, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -525,10 +525,25 @@ def _neighbours(s, d):
     return g.neighbours(seed, edges, F.lit(1)).select("issue_id", "path").distinct()
 
 
-@query("graph_features", _TRAIN.rstrip() + _SEED + "SELECT r.issue_id, r.path, round(coalesce(max(cc.score), 0), 6) AS cc_max, count(cc.a) AS cc_links, round(coalesce(sum(cc.score), 0), 6) AS cc_sum, round(1.0 / r.rank, 6) AS inv_rank FROM ra r LEFT JOIN sd ON sd.issue_id = r.issue_id AND sd.path <> r.path LEFT JOIN cc ON cc.repo = sd.repo AND cc.a = sd.path AND cc.b = r.path GROUP BY r.issue_id, r.path, r.rank")
+_FEATURES = "+tr AS (SELECT DISTINCT repo, issue_id, path FROM changes WHERE split = 'train'), cnt AS (SELECT repo, path, count(*) AS c FROM tr GROUP BY ALL), pc AS (SELECT x.repo, x.path AS a, y.path AS b, count(*) AS n FROM tr x JOIN tr y ON x.issue_id = y.issue_id AND x.path <> y.path GROUP BY ALL), cc AS (SELECT pc.repo, a, b, n, round(n / ca.c, 6) AS score FROM pc JOIN cnt ca ON ca.repo = pc.repo AND ca.path = a), im AS (SELECT repo, src AS a, dst AS b FROM imports WHERE src <> dst UNION SELECT repo, dst, src FROM imports WHERE src <> dst), di AS (SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, count(*) AS size FROM files GROUP BY ALL), "
+_FEATURES += "r AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM ra), fc AS (SELECT r.issue_id, r.path, coalesce(max(cc.score) FILTER (q.rank <= 10), 0) AS cc_max, count(*) AS cc_pool, coalesce(sum(cc.n) FILTER (q.rank <= 10), 0)::BIGINT AS cc_sum FROM r JOIN r q USING (issue_id) JOIN cc ON cc.repo = r.repo AND cc.a = r.path AND cc.b = q.path GROUP BY ALL), fi AS (SELECT r.issue_id, r.path, count(*) AS n_imports FROM r JOIN r q USING (issue_id) JOIN im ON im.repo = r.repo AND im.a = r.path AND im.b = q.path WHERE q.rank <= 10 GROUP BY ALL), fd AS (SELECT issue_id, dir, count(*) AS n_dir FROM r WHERE rank <= 10 GROUP BY ALL) "
+
+
+@query("graph_features", _FEATURES + "SELECT r.issue_id, r.path, r.score, round(1.0 / r.rank, 6) AS inv_rank, coalesce(cc_max, 0) AS cc_max, coalesce(cc_pool, 0) AS cc_pool, coalesce(cc_sum, 0) AS cc_sum, coalesce(n_imports, 0) AS n_imports, round(CASE WHEN n_dir > 0 THEN 1.0 / size ELSE 0 END, 6) AS dir_share, coalesce(n_dir, 0) AS n_dir, gt FROM r LEFT JOIN fc USING (issue_id, path) LEFT JOIN fi USING (issue_id, path) LEFT JOIN fd USING (issue_id, dir) LEFT JOIN di USING (repo, dir)")
 def _features(s, d):
-    top = ranked(s, d, "a")
-    seed = g.seeds(top, 5).select(*KEY, F.col("path").alias("a"))
-    links = top.select(*KEY, "path").join(seed, KEY).where("a <> path").join(_cc(s, d).select("repo", "a", F.col("b").alias("path"), F.col("score").alias("w")), ["repo", "a", "path"])
-    agg = links.groupBy("issue_id", "path").agg(F.max("w").alias("mx"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("sm"))
-    return top.join(agg, ["issue_id", "path"], "left").select("issue_id", "path", r6(F.coalesce("mx", F.lit(0.0))).alias("cc_max"), F.coalesce("n", F.lit(0)).alias("cc_links"), r6(F.coalesce("sm", F.lit(0.0))).alias("cc_sum"), r6(1.0 / F.col("rank")).alias("inv_rank"))
+    """Eight features of a candidate against the list's first ten: score, 1/rank, best co-change, co-changed files in the
+    list, co-change counts, imports, one by the files of a shared folder, and files of the ten in its folder.
+
+    A list's files are followed along their edges, whose far ends are looked up in the same list.
+    """
+    top = ranked(s, d, "a").withColumn("dir", t.dirname("path"))
+    cc = _cc(s, d).select("repo", F.col("a").alias("path"), "b", "score", "n", F.lit(0).alias("imp"))
+    edges = cc.unionByName(_imp(s, d).select("repo", F.col("a").alias("path"), "b", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n"), F.lit(1).alias("imp")))
+    far = top.select("repo", "issue_id", F.col("path").alias("b"), (F.col("rank") <= 10).alias("first"))
+    links = top.select(*KEY, "path").join(edges, ["repo", "path"]).join(far, [*KEY, "b"])
+    near = lambda x: F.when(F.col("first"), F.col(x))
+    per = links.groupBy("issue_id", "path").agg(F.max(near("score")).alias("cc_max"), F.count("n").alias("cc_pool"), F.sum(near("n")).alias("cc_sum"), F.sum(near("imp")).alias("n_imports"))
+    beside = top.where("rank <= 10").groupBy("issue_id", "dir").agg(F.count(F.lit(1)).alias("n_dir"))
+    size = files(s, d).groupBy("repo", t.dirname("path").alias("dir")).agg(F.count(F.lit(1)).alias("size"))
+    out = top.join(per, ["issue_id", "path"], "left").join(beside, ["issue_id", "dir"], "left").join(size, ["repo", "dir"], "left").na.fill(0, ["cc_max", "cc_pool", "cc_sum", "n_imports", "n_dir"])
+    return out.select("issue_id", "path", "score", r6(1.0 / F.col("rank")).alias("inv_rank"), "cc_max", "cc_pool", "cc_sum", "n_imports", r6(F.when(F.col("n_dir") > 0, 1.0 / F.col("size")).otherwise(0.0)).alias("dir_share"), "n_dir", "gt")
