@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup, op10_html
+from . import op01_mix, op02_quality, op03_shards, op04_toxicity, op05_substrings, op06_media, op07_decontaminate, op08_urls, op09_neardup, op10_html, op11_bpe, op12_resample, op13_align
 
 QUERIES = {
     "op1_mix": op01_mix.op1_mix,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": op08_urls.op8_url_filter,
     "op9_neardup": op09_neardup.op9_neardup,
     "op10_html": op10_html.op10_html,
+    "op11_bpe": op11_bpe.op11_bpe,
+    "op12_resample": op12_resample.op12_resample,
+    "op13_align": op13_align.op13_align,
 }
 ORACLE_SQL = {
     "op5_substrings": op05_substrings.ORACLE_SQL,
