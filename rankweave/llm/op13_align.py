@@ -18,11 +18,13 @@ aligned whole; repeated rows count as often as they come; input columns of any n
 from __future__ import annotations
 
 import functools
+import json
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,50 +33,59 @@ from .shared import packed, stash, table, unpacked, with_fields
 
 SALTS = 32
 BLOCK_PAIRS = 1_000_000
-#: Parts of a text that a vocabulary whose pieces have spaces only in front never joins: spaces and what follows.
-UNIT = re.compile(" +[^ ]*|[^ ]+")
 SPACE = "▁"
 
 
+class Bytes:
+    """A byte-level BPE tokenizer file, without special tokens."""
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        names, level = file["model"]["vocab"], op11_bpe.byte_level()
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.bytes = [b""] * (1 + max([*names.values(), *(t["id"] for t in file["added_tokens"])]))
+        for name, i in names.items():
+            self.bytes[i] = bytes(level[c] for c in name)
+        made = [names["".join(m.split(" ") if isinstance(m, str) else m)] for m in file["model"]["merges"]]
+        #: where ids are in the order of merges they serve as ranks, which a faster library takes
+        self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if b}, special_tokens={}) if made == sorted(set(made)) else None
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked is None or not text.isascii() and op11_bpe.unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.ranked.encode_ordinary(text), np.uint32)
+
+
 class Pieces:
-    """A sentencepiece model that adds a space in front; ids of units met lately are kept."""
+    """A sentencepiece model that adds a space in front."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
-        #: texts may be taken unit by unit if no piece goes on past a unit's end
-        self.by_unit = not any(SPACE in n.lstrip(SPACE) for n in names)
-        self.packed = [i.to_bytes(4, "little") for i in range(len(names))]
-        self.units = op11_bpe._Words(self)
-
-    def pretoken(self, unit: str) -> bytes:
-        ids = self.model.encode(unit[1:]) if unit != " " else [self.model.piece_to_id(SPACE)]
-        return b"".join([self.packed[i] for i in ids])
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, little-endian 32 bits each."""
-        if not text:
-            return b""
-        return b"".join(map(self.units.__getitem__, UNIT.findall(" " + text))) if self.by_unit else self.pretoken(" " + text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, num_threads=1), np.uint32)
 
 
 @functools.lru_cache(2)
-def pieces(path: str | None = None) -> Pieces:
-    """The model at a path that all machines have, loaded once a worker; unless given, the installed one of 32,000 ids."""
+def sides(a_path: str | None = None, b_path: str | None = None) -> tuple[Bytes, Pieces]:
+    """Both tokenizers, at paths that all machines have, loaded once a worker; unless given, the installed ones of 50,257 and 32,000 ids."""
     import public_tokenizers
 
-    return Pieces(path or public_tokenizers.path("piece_bpe_32k.model"))
+    return Bytes(a_path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), Pieces(b_path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
 class Side:
     """Tokens of one tokenizer over documents side by side: ids, starts and ends in bytes, documents."""
 
-    def __init__(self, ids: list[bytes], lengths: np.ndarray):
-        self.n = np.array([len(x) // 4 for x in ids], np.int64)
-        self.ids = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+    def __init__(self, ids: list[np.ndarray], lengths: np.ndarray):
+        self.n = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(ids)), self.n)
         self.ends = np.cumsum(lengths[self.ids])
         self.starts = self.ends - lengths[self.ids]
@@ -107,29 +118,29 @@ class Alignment:
         new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))[: len(doc)])
         return pair[new], np.diff(np.append(new, len(doc))), np.searchsorted(doc[new], np.arange(len(self.a.n) + 1))
 
-    def texts(self) -> list[str]:
-        """Each document's groups as ``a1,a2|b1;a3|b2,b3``."""
+    def texts(self, said: list[str]) -> list[str]:
+        """Each document's groups as ``a1,a2|b1;a3|b2,b3``; said: every id with each of the three marks."""
         n_a, n_b = len(self.a.ids), len(self.b.ids)
-        upto_a, upto_b = np.searchsorted(self.group_a, np.arange(len(self.cuts) + 1)), np.searchsorted(self.group_b, np.arange(len(self.cuts) + 1))
+        upto_a, upto_b = (np.searchsorted(g, np.arange(len(self.cuts) + 1)) for g in (self.group_a, self.group_b))
         shown, mark = np.empty(n_a + n_b, np.int64), np.zeros(n_a + n_b, np.int64)
         at_a, at_b = np.arange(n_a) + upto_b[self.group_a], np.arange(n_b) + upto_a[self.group_b + 1]
         shown[at_a], shown[at_b] = self.a.ids, self.b.ids
         mark[at_a[upto_a[1:] - 1]], mark[at_b[upto_b[1:] - 1]] = 1, 2
-        said = list(map(str.__add__, map(str, shown.tolist()), map(",|;".__getitem__, mark.tolist())))
+        parts = list(map(said.__getitem__, (3 * shown + mark).tolist()))
         cuts = np.append(0, np.cumsum(self.a.n + self.b.n)).tolist()
-        return ["".join(said[i:j])[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return ["".join(parts[i:j])[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def _tokens(texts: list[str | None], a: op11_bpe.Vocabulary, b: Pieces) -> tuple[list[bytes], list[bytes]]:
+def _tokens(texts: list[str | None], own: tuple[Bytes, Pieces]) -> list[list[np.ndarray]]:
     """Ids of both sides; none where one of them doesn't give the text back."""
-    out = [], []
+    out, none = ([], []), np.zeros(0, np.uint32)
     for text in texts:
-        ids = (a.encode(" " + text, special=False), b.encode(text)) if text else (b"", b"")
         whole = (" " + text).encode() if text else b""
-        same = all(b"".join(map(own.bytes.__getitem__, np.frombuffer(x, "<u4").tolist())) == whole for own, x in zip((a, b), ids, strict=True))
+        ids = (own[0].encode(" " + text), own[1].encode(text)) if text else (none, none)
+        same = all(b"".join(map(t.bytes.__getitem__, x.tolist())) == whole for t, x in zip(own, ids, strict=True))
         for side, x in zip(out, ids, strict=True):
-            side.append(x if same else b"")
-    return out
+            side.append(x if same else none)
+    return list(out)
 
 
 ADDED = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
@@ -140,16 +151,17 @@ def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     rows = packed(docs, "text").select("row", "text")
 
     def aligned(batches):
-        a, b = op11_bpe.vocabulary(a_path), pieces(b_path)
-        lengths = [np.array([len(x) for x in own.bytes], np.int64) for own in (a, b)]
+        own = sides(a_path, b_path)
+        lengths = [np.array([len(x) for x in t.bytes], np.int64) for t in own]
+        said = [f"{i}{mark}" for i in range(max(len(t.bytes) for t in own)) for mark in ",|;"]
         for batch in batches:
             for lo, hi, _, _ in textkit.slices(batch.column("text")):
-                sides = [Side(x, n) for x, n in zip(_tokens(batch.column("text").slice(lo, hi - lo).to_pylist(), a, b), lengths, strict=True)]
-                both = Alignment(*sides)
-                pairs, times, first = both.pairs(len(b.bytes))
+                a, b = (Side(x, n) for x, n in zip(_tokens(batch.column("text").slice(lo, hi - lo).to_pylist(), own), lengths, strict=True))
+                both = Alignment(a, b)
+                pairs, times, first = both.pairs(len(own[1].bytes))
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), x) for x in (pa.array(pairs), pa.array(times, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, hi - lo), *(pa.array(x) for x in (sides[0].n, sides[1].n, both.n_groups(), both.n_links())), pa.array(both.texts(), pa.string()), *lists],
+                    [batch.column("row").slice(lo, hi - lo), *(pa.array(x) for x in (a.n, b.n, both.n_groups(), both.n_links())), pa.array(both.texts(said), pa.string()), *lists],
                     names=["row", *(f.split(" ")[0] for f in ADDED.split(", "))],
                 )
 
@@ -187,7 +199,7 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     rows = linked(docs, a_path, b_path).withColumn("groups", F.col("groups") if shown is None else shown)
     rows = stash(rows.withColumn("uid", F.monotonically_increasing_id()), "linked")
     kept = [c for c in docs.columns if c.lower() != "text"]
-    return unpacked(scored(rows, len(pieces(b_path).bytes)), kept, "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
+    return unpacked(scored(rows, len(sides(a_path, b_path)[1].bytes)), kept, "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
 
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:

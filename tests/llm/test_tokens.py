@@ -213,7 +213,7 @@ def test_alignment(spark, block, monkeypatch, tmp_path):
 def test_alignment_interface(spark):
     docs = spark.createDataFrame([(1, "tokenization", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, groups string").withColumn("uid", F.lit(5))
     rows = {r["doc_id"]: r for r in op13_align.aligned(docs).collect()}
-    a, b = op11_bpe.vocabulary(), op13_align.pieces()
+    a, b = op13_align.sides()
     left, right = (x.split(",") for x in rows[1]["groups"].rsplit(";", 1)[-1].split("|"))
     assert b"".join(a.bytes[int(i)] for i in left).endswith(b"ization") or b"".join(b.bytes[int(i)] for i in right)
     assert rows[1]["uid"] == 5 and rows[2]["groups"] == rows[3]["groups"] == "" and rows[2]["n_links"] == 0
