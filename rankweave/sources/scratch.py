@@ -17,3 +17,10 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.gettempdir()
     return os.path.join(at.rstrip("/"), f"rankweave-{what}-{uuid.uuid4().hex}")
+
+
+def written(df, what: str):
+    """df as Parquet in a fresh folder, read again: later jobs start from it, and a lost executor costs its tasks only."""
+    path, schema = fresh_folder(df.sparkSession, what), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
