@@ -327,7 +327,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, earl
     members = stash(buckets(reps, by), "members")
     of_class = signed.join(classes.select("s1", "s2", "n_shingles", "rid"), ["s1", "s2", "n_shingles"], "left")
     # rows with one id but different texts are one document
-    links = of_class.where("rid IS NOT NULL").groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("a", "b")
+    ids = of_class.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("m"), F.count_if(F.col("rid").isNull()).alias("empty"))
+    several = ids.where("a <> m").select("doc_id", "a")
+    links = of_class.join(several, "doc_id").where("rid <> a").select("a", F.col("rid").alias("b")).distinct()
     if earlier is not None:
         held = of_class.where("rid IS NOT NULL").join(earlier.select("doc_id", "component_id").distinct(), "doc_id").select("component_id", F.col("rid").alias("b")).distinct()
         first = held.groupBy("component_id").agg(F.min("b").alias("a"))
@@ -355,7 +357,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, earl
         apart = _apart(apart.select("key", "rid"), label)
         if not apart.limit(1).count():
             break
-    named = of_class.join(label.withColumnRenamed("v", "rid"), "rid", "left")
+    # a row without words goes with the other rows of its id
+    partly = ids.where("a IS NOT NULL AND empty > 0").select("doc_id", "a")
+    named = of_class.join(partly, "doc_id", "left").withColumn("rid", F.coalesce("rid", "a")).join(label.withColumnRenamed("v", "rid"), "rid", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rid", "doc_id")).alias("component_id"))
 
 
@@ -391,15 +395,16 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM d),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 85 * (na.n + nb.n - m)),
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM d WHERE doc_id IS NOT NULL),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS m FROM g x JOIN g y ON x.s = y.s AND x.r < y.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * m >= 85 * (na.n + nb.n - m)
+      UNION SELECT first, r FROM (SELECT r, min(r) OVER (PARTITION BY doc_id) AS first FROM d WHERE doc_id IS NOT NULL) WHERE first < r),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v),
-k AS (SELECT v, min(c) AS c FROM r GROUP BY v)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.c AS component_id, k.c = d.doc_id AS kept
-FROM d JOIN k ON k.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+k(v, c) AS (SELECT r, doc_id FROM d UNION SELECT e.b, k.c FROM k JOIN e ON e.a = k.v),
+t AS (SELECT v, min(c) AS c FROM k GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, t.c AS component_id, t.c = d.doc_id AS kept
+FROM d JOIN t ON t.v = d.r LEFT JOIN n ON n.r = d.r
 """

@@ -1,7 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
-A scanner walks the whole page, keeps the stack of open elements (closing what HTML closes by implication)
-and yields leaf blocks: runs of text between block-level tags, with their ancestors. Features of a block are
+A scanner walks the whole page once, keeps the stack of open elements (closing what HTML closes by implication)
+and yields leaf blocks: runs of text between block-level tags, with the innermost open element, which knows its
+parent; time and memory are linear in the page, however deep or broken its markup is. Features of a block are
 its ancestors' tags and the words of their class, id and role attributes, and the shape of its text. The
 field is trained on labelled pages (pages made by ``labelled_pages``, or any given to ``train``) by the
 gradient of its likelihood, emissions and transitions alike, and decoded by Viterbi, page by page.
@@ -27,7 +28,8 @@ from .chain import odds, pair_counts, viterbi
 from .shared import quoted, table, with_fields
 
 BUCKETS = 1 << 14
-TAG = re.compile(r"<!--|<!\[CDATA\[|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>")
+HEAD = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+REST = re.compile(r"((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 #: Declarations that hide an element.
@@ -44,13 +46,73 @@ INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadd
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head", "title"}, set())}
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int, int]]:
-    """(text, ancestors, linked characters, characters) of every leaf block; ancestors as (tag, names) pairs."""
-    out: list[tuple[str, tuple, int, int]] = []
-    stack: list[tuple[str, str]] = []
-    parts: list[str] = []
+class Node:
+    """An open element: tag, names of its class, id and role, its parent, and what its ancestors don't already say of a path."""
+
+    __slots__ = ("tag", "names", "parent", "fresh", "inherited", "score")
+
+    def __init__(self, tag: str, names: list[str], parent: Node | None, fresh: list[str]):
+        self.tag, self.names, self.parent, self.fresh = tag, names, parent, fresh
+        self.inherited = self.score = None
+
+
+class Stack:
+    """The open elements. Where each tag is open is kept, so no search walks the stack, however deep it is."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.said: dict[str, int] = {}
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def push(self, tag: str, names: list[str]) -> None:
+        fresh = []
+        for f in {f"in {tag}", *(f"of {n}" for n in names)}:
+            if f not in self.said:
+                self.said[f] = len(self.nodes)
+                fresh.append(f)
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(Node(tag, names, self.top(), sorted(fresh)))
+
+    def cut(self, i: int) -> None:
+        """Close the elements from place i on."""
+        while len(self.nodes) > i:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            for f in node.fresh:
+                del self.said[f]
+
+    def last(self, tags: set[str]) -> int:
+        """The place of the innermost of these; -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
+def _names(attributes: str) -> list[str]:
+    found: list[str] = []
+    if "=" in attributes or "hidden" in attributes:
+        for key, value in NAMES.findall(attributes):
+            key, value = key.lower(), value.lower()
+            if key == "style":
+                found += ["hidden"] if UNSEEN.search(value) else []
+            elif key in ("hidden", "aria-hidden"):
+                found += ["hidden"] if "false" not in value else []
+            else:
+                found += WORDS.findall(value)
+    return found
+
+
+def blocks(page: str) -> list[tuple[str, Node | None, int, int]]:
+    """(text, innermost open element, linked characters, characters) of every leaf block.
+
+    One pass: what a search from one place finds missing up to the page's end is missing from every later place too, so
+    it isn't looked for again.
+    """
+    out: list[tuple[str, Node | None, int, int]] = []
+    stack, parts = Stack(), []
     linked = chars = at = 0
-    in_link = False
+    in_link, tags_end, never = False, False, set()
     end = len(page)
 
     def flush() -> None:
@@ -58,76 +120,80 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(stack), linked, chars))
+                out.append((text, stack.top(), linked, chars))
             parts.clear()
         linked = chars = 0
 
-    while at < end:
-        m = TAG.search(page, at)
-        to = m.start() if m else end
+    def past(what: str, start: int) -> int:
+        """The place behind the next ``what``; -1 if there is none."""
+        i = -1 if what in never else page.find(what, start)
+        if i < 0:
+            never.add(what)
+        return i + len(what) if i >= 0 else -1
+
+    def add(to: int) -> None:
+        nonlocal at, chars, linked
         if to > at:
-            piece = page[at:to]
-            parts.append(piece)
+            parts.append(page[at:to])
             chars += to - at
-            if in_link:
-                linked += to - at
-        if not m:
+            linked += to - at if in_link else 0
+        at = to
+
+    while at < end:
+        opened = page.find("<", at)
+        if opened < 0:
+            add(end)
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0] == "<!--":
-                stop = page.find("-->", at)
-                at = stop + 3 if stop >= 0 else end
-            elif m[0] == "<![CDATA[":
-                stop = page.find("]]>", at)
-                at = stop + 3 if stop >= 0 else end
+        add(opened)
+        if page.startswith(("<!--", "<![CDATA["), at):
+            to = past("-->" if page[at + 2] == "-" else "]]>", at + 4)
+            at = to if to >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), at):
+            to = past(">", at)
+            if to >= 0:
+                at = to
+            else:
+                add(at + 1)
             continue
-        tag = tag.lower()
+        head = None if tags_end else HEAD.match(page, at + 1)
+        rest = REST.match(page, head.end()) if head else None
+        if not rest:
+            tags_end = tags_end or head is not None
+            add(at + 1)
+            continue
+        at, tag, attributes = rest.end(), head[2].lower(), rest[1]
         if tag in INLINE:
             if tag == "a":
-                in_link = not m[1]
+                in_link = not head[1]
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
         in_link = False
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if head[1]:
+            if (i := stack.last({tag})) >= 0:
+                stack.cut(i)
             continue
         if tag in RAW or tag in HELD:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else end if tag in RAW else at
+            if not attributes.endswith("/"):
+                close = None if tag in never else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    never.add(tag)
+                    at = end if tag in RAW else at
             continue
         if tag in VOID:
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()  # any block-level start ends a paragraph
+        if stack.nodes and stack.top().tag == "p":
+            stack.cut(len(stack.nodes) - 1)  # any block-level start ends a paragraph
         if tag in IMPLIED:
             closes, walls = IMPLIED[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in walls:
-                    break
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-        names = ""
-        if m[3] and ("=" in m[3] or "hidden" in m[3]):
-            found = []
-            for key, value in NAMES.findall(m[3]):
-                key, value = key.lower(), value.lower()
-                if key == "style":
-                    found += ["hidden"] if UNSEEN.search(value) else []
-                elif key in ("hidden", "aria-hidden"):
-                    found += ["hidden"] if "false" not in value else []
-                else:
-                    found += WORDS.findall(value)
-            names = " ".join(found)
-        stack.append((tag, names))
+            i = stack.last(closes - walls)
+            if i > stack.last(walls):
+                stack.cut(i)
+        stack.push(tag, _names(attributes))
     flush()
     return out
 
@@ -136,17 +202,22 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def path_features(path: tuple) -> list[int]:
-    found = {"bias"}
-    for tag, names in path:
-        found.add(f"in {tag}")
-        for n in names.split():
-            found.add(f"of {n}")
-    if path:
-        found.add(f"tag {path[-1][0]}")
-        found.update(f"own {n}" for n in path[-1][1].split())
-    if len(path) > 1:
-        found.add(f"pair {path[-2][0]}>{path[-1][0]}")
+def own_features(node: Node | None) -> list[str]:
+    """What the innermost element says of a block."""
+    if node is None:
+        return ["bias"]
+    found = {"bias", f"tag {node.tag}", *(f"own {n}" for n in node.names)}
+    if node.parent:
+        found.add(f"pair {node.parent.tag}>{node.tag}")
+    return sorted(found)
+
+
+def path_features(node: Node | None) -> list[int]:
+    """All features of a block's path: its ancestors' tags and names, each once, and those of the innermost element."""
+    found, at = own_features(node), node
+    while at:
+        found += at.fresh
+        at = at.parent
     return [_bucket(f) for f in sorted(found)]
 
 
@@ -161,7 +232,7 @@ def shape_features(s: tuple) -> list[int]:
     return [_bucket(f"shape {i} {v}") for i, v in enumerate(s)] + [_bucket(f"links {s[1]} words {s[0]}")]
 
 
-def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, rate: float = 0.4, decay: float = 2e-4) -> dict:
+def train(pages: list[tuple[str, list[bool]]], rounds: int = 300, rate: float = 1.0, decay: float = 1e-5) -> dict:
     """Fit the field to pages with a label (is main text) for every leaf block."""
     rows, first, y = [], [], []
     for page, labels in pages:
@@ -191,23 +262,43 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 150, rate: float =
 
 
 class Extractor:
-    """Main text of pages under a model; scores of paths and shapes are kept, as pages share them."""
+    """Main text of pages under a model; weights of features and scores of shapes are kept, as pages share them."""
 
     MOST = 100_000
 
     def __init__(self, model: dict):
-        self.model, self.paths, self.shapes = model, {}, {}
+        self.model, self.weights, self.shapes = model, {}, {}
 
-    def _score(self, kept: dict, key: tuple, features) -> float:
-        score = kept.get(key)
-        if score is None:
+    def _kept(self, kept: dict, key, score) -> float:
+        found = kept.get(key)
+        if found is None:
             if len(kept) >= self.MOST:
                 kept.clear()
-            score = kept[key] = sum(self.model["w"][i] for i in features(key))
-        return score
+            found = kept[key] = score(key)
+        return found
+
+    def _weight(self, features: list[str]) -> float:
+        return sum(self._kept(self.weights, f, lambda f: self.model["w"][_bucket(f)]) for f in features)
+
+    def _path(self, node: Node | None) -> float:
+        """The score of a path; elements know what their own ancestors add up to."""
+        if node is None:
+            return self._weight(own_features(None))
+        if node.score is None:
+            todo, at = [], node
+            while at and at.inherited is None:
+                todo.append(at)
+                at = at.parent
+            for n in reversed(todo):
+                n.inherited = (n.parent.inherited if n.parent else 0.0) + self._weight(n.fresh)
+            node.score = node.inherited + self._weight(own_features(node))
+        return node.score
+
+    def _shape(self, s: tuple) -> float:
+        return sum(self.model["w"][i] for i in shape_features(s))
 
     def labels(self, found: list) -> list[int]:
-        scores = [self._score(self.paths, path, path_features) + self._score(self.shapes, shape(text, linked, chars), shape_features) for text, path, linked, chars in found]
+        scores = [self._path(node) + self._kept(self.shapes, shape(text, linked, chars), self._shape) for text, node, linked, chars in found]
         return viterbi(scores, self.model["log_a"], self.model["start"])
 
     def text(self, page: str | None) -> str:
@@ -251,7 +342,7 @@ def _page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def leaf(tag: str, text: str, main: bool, attrs: str = "") -> str:
         labels.append(main)
-        return f"<{tag}{attrs}>{text}</{tag}>" if tag not in ("p", "li") or rng.random() < 0.9 else f"<{tag}{attrs}>{text}"
+        return f"<{tag}{attrs}>{text}</{tag}>" if tag not in ("p", "li") or rng.random() < 0.8 else f"<{tag}{attrs}>{text}"
 
     def named(names: list[str]) -> str:
         name = rng.choice(names)
@@ -289,9 +380,14 @@ def _page(rng: random.Random) -> tuple[str, list[bool]]:
         return f"<{tag}{hidden}>{inner}</{tag}>"
 
     def comments() -> str:
-        inner = "".join(f'<{t}{named(["comment", "reply"])}>' + leaf("p", prose(4), False) + f"</{t}>" for t in [rng.choice(("div", "li", "article"))] for _ in range(rng.randint(1, 4)))
-        tag = rng.choice(("section", "div"))
-        return f'<{tag}{named(["comments", "comment-list", "discussion", "responses", "replies"])}>{inner}</{tag}>'
+        tag, plain = rng.choice(("section", "div", "div", "ul")), rng.random() < 0.4
+        inner = ""
+        for _ in range(rng.choice((1, 1, 2, 4))):
+            said = rng.choice((prose(4), prose(1), phrase(rng.randint(1, 3)) + rng.choice("!?.")))
+            own = leaf("p", said, False) if rng.random() < 0.8 else leaf("div", said, False)
+            item = rng.choice(("div", "li", "article"))
+            inner += own if plain else f'<{item}{named(["comment", "reply"])}>{own}</{item}>'
+        return f'<{tag}{named(["comments", "comments", "comment-list", "discussion", "responses", "replies"])}>{inner}</{tag}>'
 
     def inline(text: str) -> str:
         words = text.split(" ")
@@ -347,6 +443,8 @@ def _page(rng: random.Random) -> tuple[str, list[bool]]:
         page += f"<div{named(BODIES)}>" + body() + "</div>"
     else:
         page += "<div><div>" + body() + "</div></div>"
+    if rng.random() < 0.4:
+        page += comments()
     for _ in range(rng.randint(0, 3)):
         page += aside() if rng.random() < 0.75 else comments()
     if rng.random() < 0.7:

@@ -130,8 +130,8 @@ def test_registered_queries(spark, folder, name):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'" + (" WHERE doc_id <> 242 OR doc_id IS NULL" if t == "documents" else ""))
         order = sorted(got.columns)
         want = con.execute(f"SELECT {', '.join(order)} FROM ({ORACLE_SQL[name]})").fetchall()
-        # SQL gets no very long text, and has no form of near copies for null ids and ids with several texts
-        out = {242, 4, None} if name == "op9_neardup" else {242}
+        # SQL gets no very long text, and rows without an id are no documents that near copies could have
+        out = {242, None} if name == "op9_neardup" else {242}
         mine = [tuple(r[c] for c in order) for r in rows if "doc_id" not in order or r["doc_id"] not in out]
         want = [r for r in want if "doc_id" not in order or r[order.index("doc_id")] not in out]
         assert Counter(map(repr, mine)) == Counter(map(repr, want))

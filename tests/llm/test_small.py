@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -412,6 +413,13 @@ def test_toxic_words_are_learned_with_offsets():
     assert [(x["start"], x["end"]) for x in spans[0]] == [(2, 10)]
 
 
+def test_all_texts_of_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (3, c), (5, a), (5, b), (5, c), (6, ""), (6, b + " more"), (7, None), (8, "x"), (8, "y"), (8, "z"), (8, None)]
+    got = op09_neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 7), (8, 8)} and len(got) == len(rows)
+
+
 def test_html():
     model = op10_html.train(op10_html.labelled_pages(600))
     own = op10_html.Extractor(model)
@@ -425,6 +433,28 @@ def test_html():
     assert len(op10_html.blocks("<p " + '"' * 20000 + ">x")) <= 1
 
 
+def test_comments_after_the_article():
+    own = op10_html.Extractor(op10_html.train(op10_html.labelled_pages(600)))
+    bodies = ["<p>One sentence.</p>", "<p>One sentence.", "<h1>Title</h1><p>Never closed", "<ul><li>a<li>b</ul>"]
+    said = ["<p>first!</p>", "<p>I agree, mostly.", '<div class="comment"><p>Nice one. Thanks!</p></div>', "<p>No.</p><p>Yes, it is.</p>", '<article class="comment"><p>Long words, many of them, in a comment. And more.</p></article>']
+    for body in bodies:
+        for comment in said:
+            page = f'<html><body><article>{body}</article><div class="comments">{comment}</div></body></html>'
+            assert own.text(page) == own.text(f"<html><body><article>{body}</article></body></html>") != "", page
+
+
+def test_hostile_pages_take_linear_time():
+    own = op10_html.Extractor(op10_html.train(op10_html.labelled_pages(60), rounds=20))
+    pages = ["<div>x" * 40000, '<div class="a b">x' * 40000, "<a " * 170000, '<a "x>" ' * 60000, "<select>" * 60000, "<!x " * 120000, "<div>" * 40000 + "</p>" * 40000, "<li><ul>" + "<div>" * 30000 + "<li>x<div>" * 10000, "<" * 500000, "<p " + '"' * 500000, "<![CDATA[" * 50000]
+    for page in pages:
+        began = time.process_time()
+        own.text(page)
+        assert time.process_time() - began < 2, page[:20]
+    assert own.text("<![CDATA[x") == own.text("<!-- x") == ""
+    assert [b[0] for b in op10_html.blocks("<a x <a y <p z")] == ["<a x <a y <p z"]
+    assert [b[0] for b in op10_html.blocks("<ul><li>a<ul><li>b</ul><li>c</ul>")] == ["a", "b", "c"]
+
+
 class _Plain(HTMLParser):
     """Reads the made-up site of the driver's pages: blocks inside <article>, without its adverts and comments."""
 
@@ -480,9 +510,9 @@ def test_html_cases():
     page = "<article><h1>One title here.</h1><p style='list-style:none;overflow:hidden'>Shown, with some words in it.</p><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, all is well.</p><object><p>Inside an object, as a fallback.</p></object><p>After <select><option>never</select>all of it, the end.</p></article>"
     assert own.text(page) == "One title here.\n\nShown, with some words in it.\n\nWhere x=1 holds, all is well.\n\nInside an object, as a fallback.\n\nAfter\n\nall of it, the end."
     for style in ("display:none", "color:red; DISPLAY : none", "visibility:hidden"):
-        assert "hidden" in op10_html.blocks(f'<div style="{style}">x</div>')[0][1][-1][1]
+        assert "hidden" in op10_html.blocks(f'<div style="{style}">x</div>')[0][1].names
     for style in ("border:none", "overflow:hidden", "list-style: none"):
-        assert "hidden" not in op10_html.blocks(f'<div style="{style}">x</div>')[0][1][-1][1]
+        assert "hidden" not in op10_html.blocks(f'<div style="{style}">x</div>')[0][1].names
     assert [b[0] for b in op10_html.blocks("<p>a<object><p>b<select><p>c")] == ["a", "b", "c"]
 
 
