@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,11 +111,7 @@ def _sliding(name, window, step):
     def run(s, d):
         other = ranked(s, d, "b").select(*KEY, "path", F.col("score").alias("sb"))
         rows = ranked(s, d, "a").select(*KEY, "path", "rank").join(other, [*KEY, "path"], "left").na.fill(0.0, ["sb"])
-
-        def order(w: pd.DataFrame) -> list[int]:
-            return w.assign(sb=-w["sb"]).sort_values(["sb", "path"]).index.tolist()
-
-        return listwise.sliding_rerank(rows, order, window, step).select("issue_id", "path", "rank")
+        return listwise.sliding_rerank(rows, [-F.col("sb")], window, step).select("issue_id", "path", "rank")
 
     run.__doc__ = "Listwise passes from the bottom; the second model's scores stand in for its answers."
     query(name, _window_sql(window, step))(run)

@@ -104,9 +104,9 @@ pool AS (SELECT repo, issue_id, path FROM (SELECT DISTINCT customer, path FROM c
 scored AS (SELECT pool.*, m, round(('0x' || left(md5(m || '|' || pool.issue_id || '|' || pool.path), 6))::BIGINT / 16777216 + CASE WHEN g.path IS NULL THEN 0.0 ELSE lift END, 6) AS score, g.path IS NOT NULL AS gt
            FROM pool CROSS JOIN (VALUES ('a', 0.5::DOUBLE), ('b', 0.35::DOUBLE), ('c', 0.2::DOUBLE)) v(m, lift) LEFT JOIN (SELECT issue_id, path FROM changes) g ON g.issue_id = pool.issue_id AND g.path = pool.path),
 ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, issue_id ORDER BY score DESC, path) AS rank FROM scored) WHERE rank <= {LIST}),
-ra AS (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'a'),
-rb AS (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'b'),
-rc AS (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'c'),
+ra AS MATERIALIZED (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'a'),
+rb AS MATERIALIZED (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'b'),
+rc AS MATERIALIZED (SELECT repo, issue_id, path, rank, score, gt FROM ranked WHERE m = 'c'),
 imports AS (SELECT DISTINCT a.repo, a.path AS src, b.path AS dst FROM (SELECT DISTINCT repo, path, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS to_ FROM changes) a
             JOIN (SELECT DISTINCT repo, path, p_partkey FROM changes) b ON a.repo = b.repo AND a.to_ = b.p_partkey),
 texts AS (SELECT repo, issue_id, path, 'Title: crash in `' || stem || '` of repo ' || repo || chr(10) || 'Traceback (most recent call last):' || chr(10) || '  File "/usr/lib/site-packages/' || path || '", line 3, in get_' || brand

@@ -36,8 +36,23 @@ def test_test_pairs_lend_each_other_half_their_score(spark):
         ([0] * 6 + [1, 1], 7, "abcdhefg"),
     ],
 )
-def test_promote(relevance, original, want):
-    assert "".join(listwise.promote(list("abcdefgh"), relevance, original)) == want
+def test_promote(spark, relevance, original, want):
+    assert promoted(spark, relevance, original) == want
+
+
+def promoted(spark, relevance, original, **limits):
+    rows = [("r", "i", chr(97 + i), i + 1, float(x)) for i, x in enumerate(relevance)]
+    found = listwise.promoted(spark.createDataFrame(rows, "repo string, issue_id string, path string, rank int, relevance double").repartition(3), original, **limits)
+    return "".join(r["path"] for r in found.orderBy("rank").collect())
+
+
+def test_promote_past_the_last_place(spark):
+    # three go behind the first three: to the fourth and fifth place, the third to the fifth before the second
+    assert promoted(spark, [0] * 8 + [0.9, 0.8, 0.7], 3, top5=3, top10=0) == "abcikjdefgh"
+    # the original ones fill the first five places, so what moves up stands at the fifth, the last first
+    assert promoted(spark, [0] * 6 + [0.9, 0.8], 6, top5=2, top10=0) == "abcdhgef"
+    # six of the second kind: the fifth and the sixth share the tenth place
+    assert promoted(spark, [0] * 9 + [0.29, 0.28, 0.27, 0.26, 0.25, 0.24], 2, top10=6) == "abcdejklmonfghi"
 
 
 def test_sampled_pairs_are_no_edges_and_no_more_than_asked(spark):

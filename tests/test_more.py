@@ -35,19 +35,19 @@ def test_patch_lines(spark):
     assert got == {("a.py", "-", 4), ("a.py", "+", 4), ("a.py", "+", 5), ("a.py", "-", 20), ("a.py", "+", 21), ("b.py", "-", 1)}
 
 
-def test_windows_slide_from_the_bottom():
-    seen = []
+def test_windows_slide_from_the_bottom(spark):
+    def slide(items, window, step):
+        return spark.range(1).select(listwise.slid(F.array(*map(F.lit, items)).cast("array<int>"), window, step)).first()[0]
 
-    def order(items):
-        seen.append(list(items))
-        return sorted(items)
+    def spans(n, window, step):
+        return spark.range(1).select(listwise.starts(F.lit(n), window, step)).first()[0]
 
-    assert listwise.slide([5, 4, 3, 2, 1, 0], order, 4, 2) == [0, 1, 4, 5, 2, 3]
-    assert seen == [[3, 2, 1, 0], [5, 4, 0, 1]]
-    assert listwise.slide([7], order, 4, 2) == [7] and listwise.slide([], order, 4, 2) == []
-    assert listwise.slide([2, 1], order, 9, 9) == [1, 2]
+    assert slide([5, 4, 3, 2, 1, 0], 4, 2) == [0, 1, 4, 5, 2, 3]
+    assert spans(6, 4, 2) == [2, 0] and spans(20, 10, 5) == [10, 5, 0] and spans(9, 4, 2) == [5, 3, 1, 0] and spans(3, 9, 9) == [0]
+    assert slide([7], 4, 2) == [7] and slide([], 4, 2) == []
+    assert slide([2, 1], 9, 9) == [1, 2]
     with pytest.raises(ValueError, match="step"):
-        listwise.slide([1, 2, 3], order, 3, 4)
+        slide([1, 2, 3], 3, 4)
 
 
 def test_dense_queries_in_blocks(spark, monkeypatch):
