@@ -421,3 +421,10 @@ def prompt_build(issue: Column, path: Column, code: Column, most_issue: int = 15
 def truncate_suffix(body: Column, suffix: Column, most: int) -> Column:
     """At most so many tokens, of which the suffix is never cut."""
     return F.concat(F.slice(body, 1, F.greatest(F.lit(0), F.least(F.size(body), F.lit(most) - F.size(suffix)))), suffix)
+
+
+def anonymous_name(c: str | Column) -> Column:
+    """The path with its file name hashed; the last suffix stays (.py without one, or without a folder)."""
+    name = basename(c)
+    suffix = F.when(_col(c).contains("/") & name.rlike(r".\.[^.]+$"), F.regexp_extract(name, r"(\.[^.]+)$", 1)).otherwise(".py")
+    return F.concat(F.left(_col(c), F.length(_col(c)) - F.length(name)), F.left(F.md5(name.cast("binary")), F.lit(8)), suffix)

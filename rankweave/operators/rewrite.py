@@ -44,7 +44,8 @@ def _lines(c: Column) -> Column:
 def repo_roots(files: DataFrame) -> DataFrame:
     """repo, roots: first folders of the repo's files (behind a wrapper folder the second part too) and forms of its name."""
     parts = F.filter(F.split(F.lower("path"), "/"), lambda x: x != "")
-    own = F.when(parts[0].isin(WRAPPERS) & (F.size(parts) > 1), F.array(parts[0], parts[1])).otherwise(F.array(parts[0]))
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    own = F.when(first.isin(WRAPPERS) & (F.size(parts) > 1), F.array(first, second)).otherwise(F.array(first))
     name = F.lower(F.regexp_replace("repo", r"^.*?__", ""))
     names = F.filter(F.array(name, F.replace(name, F.lit("-"), F.lit("_")), F.replace(name, F.lit("-"), F.lit(""))), lambda x: (x != "") & ~x.isin(STDLIB))
     rows = files.where(F.size(parts) > 0).select("repo", F.explode(own).alias("root")).distinct()

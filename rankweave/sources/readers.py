@@ -19,8 +19,8 @@ def scan_filetree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_depgraph(spark: SparkSession, folder: str) -> DataFrame:
-    """repo, src, dst, kind of ``<repo>_rels.json`` files with import and call maps; calls count by the file before ':'."""
-    raw = spark.read.text(f"{folder}/*_rels.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)_rels\.json$", 1).alias("repo"), F.from_json("value", "struct<file_imports: map<string, array<string>>, call_graph: map<string, array<string>>>").alias("j"))
+    """repo, src, dst, kind of ``<repo>_rels.json`` files (or folders of files) with import and call maps; calls count by the file before ':'."""
+    raw = spark.read.text(f"{folder}/*_rels.json", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/=]+)_rels\.json(?:/[^/]*)?$", 1).alias("repo"), F.from_json("value", "struct<file_imports: map<string, array<string>>, call_graph: map<string, array<string>>>").alias("j"))
     file = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
     edges = lambda c, kind: raw.select("repo", F.explode(f"j.{c}").alias("s", "ds")).select("repo", file("s").alias("src"), F.explode("ds").alias("d")).select("repo", "src", file("d").alias("dst"), F.lit(kind).alias("kind"))
     return edges("file_imports", "import").unionByName(edges("call_graph", "call").where("src <> dst")).distinct()
