@@ -428,3 +428,42 @@ def anonymous_name(c: str | Column) -> Column:
     name = basename(c)
     suffix = F.when(_col(c).contains("/") & name.rlike(r".\.[^.]+$"), F.regexp_extract(name, r"(\.[^.]+)$", 1)).otherwise(".py")
     return F.concat(F.left(_col(c), F.length(_col(c)) - F.length(name)), F.left(F.md5(name.cast("binary")), F.lit(8)), suffix)
+
+
+def parse_rank_mixed(c: str | Column, candidates: str | Column) -> Column:
+    """Places of the candidates (from 0) in the order that an answer gives them by number or path; the rest follow in old order.
+
+    A first line with commas, or with numbers only, is the answer if it names two or more candidates; else each line is
+    read, with or without a number in front. A path is that of the first candidate left that it equals or that ends with one another,
+    or else has its file name; numbers count from 1. Numbers out of range, repeats and other words are passed over. Null answers: old order.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    among = F.coalesce(_col(candidates), F.array().cast("array<string>"))
+    places = F.filter(F.sequence(F.lit(-1), F.size(among) - 1), lambda i: i >= 0)
+    at = lambda i: F.get(among, i)
+
+    def number(found, x):
+        i = x.try_cast("int") - 1
+        return F.when((i >= 0) & (i < F.size(among)) & ~F.array_contains(found, i), i)
+
+    def path(found, x):
+        x = strip(F.regexp_replace(strip(x), ",+$", ""))
+        base = basename(F.regexp_replace(x, "/+$", ""))
+        left = F.filter(places, lambda i: ~F.array_contains(found, i))
+        whole = F.filter(left, lambda i: x.endswith(at(i)) | at(i).endswith(x))
+        return F.coalesce(F.get(whole, F.lit(0)), F.get(F.filter(left, lambda i: (base != "") & (basename(at(i)) == base)), F.lit(0)))
+
+    digits = lambda x: x.rlike("^[0-9]+$")
+    add = lambda found, i: F.when(i.isNull(), found).otherwise(F.concat(found, F.array(i)))
+
+    def line(found, x):
+        content = strip(F.regexp_extract(x, r"^[0-9]+[.)]\s*(.+)$", 1))
+        numbered = F.coalesce(path(found, content), F.when(digits(content), number(found, content)))
+        return add(found, F.when(content != "", numbered).when(digits(x), number(found, x)).when(x != "", path(found, x)))
+
+    lines = F.transform(F.split(strip(F.coalesce(_col(c), F.lit(""))), "\n"), strip)
+    first, none = F.get(lines, F.lit(0)), F.array().cast("array<int>")
+    tokens = F.when(F.contains(first, F.lit(",")), F.transform(F.split(first, ","), strip)).when(first.rlike(r"^[0-9]+(?:\s+[0-9]+)+$"), F.split(first, r"\s+")).otherwise(F.array().cast("array<string>"))
+    short = F.aggregate(tokens, none, lambda found, x: add(found, F.when(digits(x), number(found, x)).otherwise(path(found, x))))
+    order = F.when(F.size(short) >= 2, short).otherwise(F.aggregate(lines, none, line))
+    return F.concat(order, F.array_except(places, order))

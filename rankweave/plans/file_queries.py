@@ -324,7 +324,7 @@ def _checkpoint(s, d):
 def _beir(s, d):
     """Corpus, queries and qrels in BEIR layout; the qrels are read back."""
     at = fresh_folder(s, "beir")
-    corpus = load(s, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), F.left("text", F.lit(100)).alias("text"))
+    corpus = load(s, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), "text")
     asked = load(s, d, "benchmark").select(F.col("item_id").cast("string").alias("_id"), "text")
     qrels = asked.select(F.col("_id").alias("query_id")).join(corpus.select(F.col("_id").alias("corpus_id")), F.col("query_id") == F.col("corpus_id")).select("query_id", "corpus_id", F.lit(1).alias("score"))
     readers.sink_beir(corpus, asked, qrels, at)

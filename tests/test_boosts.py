@@ -51,3 +51,49 @@ def test_anonymous_names(spark):
     want = {"a/b.py": f"a/{h('b.py')}.py", "a/é.tar.gz": f"a/{h('é.tar.gz')}.gz", "a/.hidden": f"a/{h('.hidden')}.py", "a.d/none": f"a.d/{h('none')}.py", "top.pyi": f"{h('top.pyi')}.py", "": f"{h('')}.py"}
     rows = spark.createDataFrame([(p,) for p in want], "p string")
     assert dict(map(tuple, rows.select("p", t.anonymous_name("p")).collect())) == want
+
+
+def walked(answer, names):
+    """Places by one walk over the answer's words, which are dropped from the list as they are found."""
+    import os
+    import re
+
+    def named(x, left, numbers_first):
+        n, x = x.strip(), x.strip().rstrip(",").strip()  # a number with a comma behind it is no number
+        by_path = [i for i in left if x.endswith(names[i]) or names[i].endswith(x)] or [i for i in left if os.path.basename(x.rstrip("/")) and os.path.basename(names[i]) == os.path.basename(x.rstrip("/"))]
+        by_number = [int(n) - 1] if re.fullmatch("[0-9]+", n) and int(n) - 1 in left else []
+        if numbers_first and re.fullmatch("[0-9]+", n):
+            return by_number[:1]
+        return (by_path or by_number)[:1]
+
+    def read(words, numbers_first):
+        left, out = list(range(len(names))), []
+        for x, first in zip(words, numbers_first):
+            for i in named(x, left, first):
+                out.append(i)
+                left.remove(i)
+        return out, left
+
+    lines = [x.strip() for x in (answer or "").strip().split("\n")]
+    words = lines[0].split(",") if "," in lines[0] else lines[0].split() if re.fullmatch(r"[\d\s]+", lines[0]) and len(lines[0].split()) > 1 else []
+    out, left = read([w.strip() for w in words], [True] * len(words))
+    if len(out) < 2:
+        heads = [(m[1].strip(), False) if (m := re.match(r"[0-9]+[.)]\s*(.+)$", x)) else (x, True) for x in lines if x]
+        out, left = read([h for h, _ in heads], [f for _, f in heads])
+    return out + left
+
+
+def test_mixed_rankings(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["a/x.py", "b/x.py", "a/b/y.py", "y.py", "c/z.py", "c/é.py"]
+    answers = [None, "", "3, 1, 2", "3,1,", "2", "9, 9", "6 5\n1", "1. c/z.py\n2. a/b/y.py", "1) 5\n2) 3", "5\n\n4\n5", "q/z.py\nx.py\nx.py", "x.py, 3, repo/c/z.py", "no idea", "1. the file\n2. c/z.py/", "99999999999, 2, 4", "4,\n3,"]
+    for _ in range(150):
+        word = lambda: rng.choice([str(rng.randint(0, 8)), rng.choice(names), "x.py", "/r/" + rng.choice(names), "words", ""])
+        answers.append(rng.choice([", ", "\n", " ", ",\n"]).join(rng.choice(["", "1. ", "2) "]) + word() for _ in range(rng.randint(1, 7))))
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, answer string").withColumn("names", F.array(*map(F.lit, names)))
+    found = [r["o"] for r in rows.repartition(3).select("i", t.parse_rank_mixed("answer", "names").alias("o")).orderBy("i").collect()]
+    for answer, o in zip(answers, found):
+        assert o == walked(answer, names), answer
+    assert rows.limit(1).select(t.parse_rank_mixed("answer", F.array().cast("array<string>")).alias("o")).first()["o"] == []
