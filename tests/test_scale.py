@@ -33,3 +33,20 @@ def test_two_lists_side_by_side_without_a_join(spark, how):
     cols = ["issue_id", "path", "rank_a", "score_a", "rank_b", "score_b"]
     key = lambda r: tuple(map(repr, r))
     assert sorted(map(key, got.select(cols).collect())) == sorted(map(key, want.select(cols).collect()))
+
+
+@pytest.mark.parametrize("kind", ["lucene", "okapi"])
+def test_postings_of_asked_terms_alone(spark, kind):
+    """The same scores from the postings of the queries' terms; they are dealt by document only."""
+    from pyspark.sql import functions as F
+
+    from rankweave.operators import retrieval as r
+
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b d"), (3, "e e a"), (4, ""), (5, "b z")], "doc long, text string").withColumn("tokens", F.filter(F.split("text", " "), lambda x: x != ""))
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["e", "none"])], "q long, tokens array<string>")
+    want = r.bm25(r.postings(docs, F.col("tokens"), []), asked, [], ["q"], kind=kind)
+    got = r.bm25(r.postings(docs, F.col("tokens"), [], asked=asked, mean=kind == "okapi"), asked, [], ["q"], kind=kind)
+    assert sorted(got.collect()) == sorted(want.collect())
+    few = r.postings(docs, F.col("tokens"), [], asked=asked)
+    assert {x.term for x in few.collect()} == {"a", "b", "e"}
+    assert not [k for k in exchanges(few.select("doc", "term", "tf", "dl")) if "term" in k and "doc" in k]
