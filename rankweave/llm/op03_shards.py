@@ -89,18 +89,25 @@ def shard(records: DataFrame, shards: int, seed: int = 1, weight: Column | None
     return unpacked(dealt, records.columns, F.col("of").alias("shard"), (place - start).cast("long").alias("slot"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 16) and the text's unsigned CRC-32."""
+def measured(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, size (UTF-8 bytes and 16), the text's unsigned CRC-32, and the columns ``more``."""
     return docs.select(
         F.col("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        *more,
     )
 
 
+def whole(docs: DataFrame, shards: int) -> DataFrame:
+    """The documents themselves, texts and all, in shards; a row weighs its text's bytes and 16."""
+    return shard(docs, shards, weight=F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards under the law ``rows``."""
-    return digest(shard(measured(table(spark, sf_dir, "documents")), 40))
+    """All documents in 40 shards under the law ``rows``; size and checksum are taken from the texts that were dealt."""
+    dealt = whole(table(spark, sf_dir, "documents"), 40)
+    return digest(measured(dealt, "shard", "slot"))
 
 
 def digest(sharded: DataFrame) -> DataFrame:
