@@ -50,3 +50,29 @@ def test_postings_of_asked_terms_alone(spark, kind):
     few = r.postings(docs, F.col("tokens"), [], asked=asked)
     assert {x.term for x in few.collect()} == {"a", "b", "e"}
     assert not [k for k in exchanges(few.select("doc", "term", "tf", "dl")) if "term" in k and "doc" in k]
+
+
+@needs_tables
+def test_hits_of_the_lists_need_no_other_exchange(spark):
+    """Truth and list of an issue are in one row: nothing is dealt by issue, and two models take one pass over the lists."""
+    from rankweave.operators import metrics as m
+    from rankweave.plans import ranking_queries as q
+
+    got = q._two(spark, DATA)
+    assert len(exchanges(got)) == len(exchanges(fixtures.lists(spark, DATA, "ab")))
+    assert not [k for k in exchanges(got) if "issue_id" in k]
+    truth = fixtures.changes(spark, DATA)
+    want = m.flagged(fixtures.ranked(spark, DATA, "a").where("gt"), truth).join(m.flagged(fixtures.ranked(spark, DATA, "b").where("gt"), truth).select("issue_id", fixtures.F.col("hits").alias("hb")), "issue_id")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+
+
+@needs_tables
+def test_first_list_of_a_file_without_a_join(spark):
+    import __spark_entry__ as entry
+
+    F = fixtures.F
+    got = entry.queries()["dedup_priority"](spark, DATA)
+    assert not [k for k in exchanges(got) if "issue_id" in k]
+    first = [fixtures.ranked(spark, DATA, x).where("rank <= 5").select("issue_id", "path", F.lit(x).alias("source")) for x in "abc"]
+    want = first[0].unionByName(first[1]).unionByName(first[2]).groupBy("issue_id", "path").agg(F.min("source").alias("source"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
