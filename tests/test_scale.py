@@ -76,3 +76,24 @@ def test_first_list_of_a_file_without_a_join(spark):
     first = [fixtures.ranked(spark, DATA, x).where("rank <= 5").select("issue_id", "path", F.lit(x).alias("source")) for x in "abc"]
     want = first[0].unionByName(first[1]).unionByName(first[2]).groupBy("issue_id", "path").agg(F.min("source").alias("source"))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_cochange_pairs_are_dealt_by_file_once(spark):
+    """Pairs are formed where a file's companions meet; they were joined by issue and dealt by both files."""
+    from rankweave.operators import graph as g
+
+    rows = [("r", "1", "x"), ("r", "1", "y"), ("r", "1", "y"), ("r", "2", "x"), ("r", "2", "y"), ("r", "3", "x"), ("q", "4", "x"), ("q", "4", "z"), ("q", "4", None)]
+    changes = spark.createDataFrame(rows, "repo string, issue_id string, path string")
+    found = g.cochange(changes, "directional", 1)
+    assert sorted(map(tuple, found.collect())) == [("q", "x", "z", 1, 1.0), ("q", "z", "x", 1, 1.0), ("r", "x", "y", 2, 0.666667), ("r", "y", "x", 2, 1.0)]
+    assert not [k for k in exchanges(found) if "a," in k and "b" in k.split(", ")]
+
+
+def test_neighbours_meet_their_seeds_by_issue(spark):
+    from rankweave.operators import graph as g
+
+    seed = spark.createDataFrame([("r", "1", "x"), ("r", "1", "y"), ("r", "2", "x")], "repo string, issue_id string, path string")
+    edges = spark.createDataFrame([("r", "x", "y", 0.5), ("r", "x", "z", 0.25), ("r", "y", "z", 0.75)], "repo string, a string, b string, score double")
+    top = g.best(g.neighbours(seed, edges, fixtures.F.col("score")), fixtures.F.max("w"), 5)
+    assert sorted((x.issue_id, x.path, x.score, x["rank"]) for x in top.collect()) == [("1", "z", 0.75, 1), ("2", "y", 0.5, 1), ("2", "z", 0.25, 2)]
+    assert not [k for k in exchanges(top) if "issue_id" in k and "path" in k]
