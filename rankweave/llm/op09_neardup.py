@@ -140,15 +140,20 @@ def _matrix(column, parts: int) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].reshape(-1, parts)
 
 
+def _masks(sig: np.ndarray, by: Law) -> np.ndarray:
+    """A key for each value of each signature (rows): its chunk without that value."""
+    values = _drawn(by.parts)[1][np.arange(by.parts), sig]
+    totals = np.add.reduceat(values, np.searchsorted(by.chunk_of, np.arange(by.chunks)), axis=1)
+    return textkit.mix(totals[:, by.chunk_of] - values + np.arange(1, by.parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def masked(reps: DataFrame, by: Law = OP9) -> DataFrame:
     """key, rid: every chunk of every signature with each of its values masked in turn."""
 
     def keys(batches):
         for b in batches:
-            values = _drawn(by.parts)[1][np.arange(by.parts), _matrix(b.column("sig"), by.parts)]
-            totals = np.add.reduceat(values, np.searchsorted(by.chunk_of, np.arange(by.chunks)), axis=1)
-            key = textkit.mix(totals[:, by.chunk_of] - values + np.arange(1, by.parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rid").to_numpy(), by.parts))], names=["key", "rid"])
+            key = _masks(_matrix(b.column("sig"), by.parts), by)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(b.column("rid").to_numpy(), by.parts))], names=["key", "rid"])
 
     tasks = max(1, math.ceil(reps.count() / MASK_ROWS))
     return reps.select("rid", "sig").repartition(tasks, "rid").mapInArrow(keys, "key long, rid long")
@@ -280,15 +285,21 @@ def _compare(t: pa.Table, by: Law = OP9) -> pa.Table:
 
 
 def _partnered(t: pa.Table, by: Law = OP9) -> pa.Table:
-    """The members of a block pair whose sizes and signatures allow a link with a member of another component."""
+    """The members of a block pair whose sizes and signatures allow a link with a member of another component.
+
+    Near members meet in many buckets. A pair counts only in that of its smallest common key, which is the bucket's
+    own key, as the one kept for buckets with the same members is the smallest; that bucket is still open while its
+    members are apart.
+    """
     n, c, side = (t.column(x).to_numpy() for x in ("n_shingles", "c", "own"))
     sig = _matrix(t.column("sig"), by.parts)
     within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
     names, counts = np.unique(c, return_counts=True)
-    found = np.zeros(len(n), bool)
+    keys, here, found = _masks(sig, by), t.column("key")[0].as_py(), np.zeros(len(n), bool)
     for i in np.flatnonzero(c != names[np.argmax(counts)]):
         j = np.flatnonzero((c != c[i]) & (within | (side != side[i])) & (100 * np.minimum(n, n[i]) >= by.percent * np.maximum(n, n[i])))
         j = j[(sig[j] != sig[i]).sum(1) <= by.reach]
+        j = j[np.where(keys[j] == keys[i], keys[j], np.iinfo(np.int64).max).min(1) == here] if len(j) else j
         if len(j):
             found[j] = found[i] = True
     return t.filter(pa.array(found)).select(["key", "lo", "hi", "own", "rid", "c"])
