@@ -36,10 +36,15 @@ def counted_auc(scored: DataFrame) -> DataFrame:
 
 
 def by_columns(rows: DataFrame, group: str, features: list[str], label: str, folds: int = 5) -> DataFrame:
-    """Out-of-fold AUC of plain logistic fits (features standardised, ridge 1) to the other folds; one row. Null labels don't count."""
-    held = written(rows.where(F.col(label).isNotNull()).select(fold_of(F.col(group), folds).alias("fold"), *features, F.col(label).cast("int").alias("y")), "folds")
-    scored = learn.leave_out(held, "fold", features, "y", balanced=False).scored(held, "fold").where("score IS NOT NULL")
-    return counted_auc(scored.select("score", F.col("y").cast("long").alias("p"), (1 - F.col("y")).cast("long").alias("q")))
+    """Out-of-fold AUC of plain logistic fits (features standardised, ridge 1) to the other folds; one row. Null labels don't count.
+
+    Rows of one fold, features and label are one row with their number, so the fits' jobs read as many rows as there are
+    different ones.
+    """
+    known = rows.where(F.col(label).isNotNull()).select(fold_of(F.col(group), folds).alias("fold"), *features, F.col(label).cast("int").alias("y"))
+    held = written(known.groupBy("fold", *features, "y").agg(F.count(F.lit(1)).alias("times")), "folds")
+    scored = learn.leave_out(held, "fold", features, "y", balanced=False, times="times").scored(held, "fold").where("score IS NOT NULL")
+    return counted_auc(scored.select("score", (F.col("y") * F.col("times")).alias("p"), ((1 - F.col("y")) * F.col("times")).alias("q")))
 
 
 # ---- hashed words ------------------------------------------------------------------------------------------

@@ -81,3 +81,16 @@ def test_one_label_and_none(spark):
     assert tuple(p.by_words(rows, "g", "words", "y").first()) == (3, 3, None)
     assert tuple(p.by_words(rows.where("false"), "g", "words", "y").first()) == (0, 0, None)
     assert math.isclose(p.counted_auc(spark.createDataFrame([(0.5, 2, 3), (0.7, 1, 0)], "score double, p long, q long")).first()["auc"], round((2 * 1.5 + 3) / 9, 4))
+
+
+def test_rows_with_their_number_count_as_often(spark):
+    """Rows that look alike are one: the fits' jobs read different rows only (they read every candidate)."""
+    from rankweave.operators import learn
+
+    group, words, y = made()
+    rows = spark.createDataFrame([(fold(g), float(len(w or [])), c) for g, w, c in zip(group, words, y)], "fold int, f double, y int").cache()
+    few = rows.groupBy("fold", "f", "y").count().cache()
+    assert few.count() < 70
+    want = learn.leave_out(rows, "fold", ["f"], "y", balanced=False)
+    got = learn.leave_out(few, "fold", ["f"], "y", balanced=False, times="count")
+    assert got.groups == want.groups and np.allclose(got.weights, want.weights, atol=1e-9) and np.allclose(got.intercepts, want.intercepts, atol=1e-9)

@@ -97,3 +97,19 @@ def test_neighbours_meet_their_seeds_by_issue(spark):
     top = g.best(g.neighbours(seed, edges, fixtures.F.col("score")), fixtures.F.max("w"), 5)
     assert sorted((x.issue_id, x.path, x.score, x["rank"]) for x in top.collect()) == [("1", "z", 0.75, 1), ("2", "y", 0.5, 1), ("2", "z", 0.25, 2)]
     assert not [k for k in exchanges(top) if "issue_id" in k and "path" in k]
+
+
+@needs_tables
+def test_candidates_meet_their_text_without_a_join(spark, monkeypatch):
+    """An issue's text is made in its list's row (it was joined to every candidate)."""
+    from rankweave.operators import predictability
+    from rankweave.plans import predict_queries as q
+
+    F, seen = fixtures.F, []
+    monkeypatch.setattr(predictability, "by_columns", lambda rows, *a: seen.append(rows) or rows)
+    q._lexical(spark, DATA)
+    assert not [k for k in exchanges(seen[0]) if "issue_id" in k]
+    asked = fixtures.issue_texts(spark, DATA).select("issue_id", F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+")).alias("asked"))
+    words = F.array_distinct(F.filter(F.split(F.lower("path"), r"[/._\-]"), lambda x: x != ""))
+    want = fixtures.ranked(spark, DATA, "a").join(asked, "issue_id", "left").select("issue_id", F.size(words).cast("double").alias("n_words"), F.coalesce(F.size(F.array_intersect(words, "asked")), F.lit(0)).cast("double").alias("shared"))
+    assert sorted(map(tuple, seen[0].select("issue_id", "n_words", "shared").collect())) == sorted((a, b, max(c, 0.0)) for a, b, c in want.collect())
