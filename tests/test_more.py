@@ -1,6 +1,7 @@
 """Tokenizers on literals, diffs as rows, listwise windows, blocks of dense queries and shared lexical queries."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as t
@@ -70,3 +71,18 @@ def test_equal_questions_share_a_list(spark):
 
 def test_scratch_folders_are_new(spark):
     assert fresh_folder(spark, "x") != fresh_folder(spark, "x")
+
+
+def test_dense_search_with_copies_and_odd_vectors(spark, monkeypatch):
+    """The same rows as scores of all pairs, through groups of bounded size; copies, null and short vectors included."""
+    rng = np.random.default_rng(5)
+    v = [(i, None if i == 7 else rng.integers(-3, 4, 2 if i == 9 else 3).astype(float).tolist()) for i in range(60)] + [(i, [1.0, 2.0, 0.5]) for i in range(60, 90)]
+    v = spark.createDataFrame(v, "doc long, v array<double>")
+    q = v.where("doc % 4 = 3").withColumnRenamed("doc", "query")
+    pairs = v.select("doc", r.normalised("v").alias("v")).crossJoin(q.select("query", r.normalised("v").alias("q"))).where("doc <> query")
+    want = r.topk(pairs.select("query", "doc", F.round(r.dot("v", "q"), 6).alias("score")), ["query"], 5)
+    monkeypatch.setattr(r, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(r, "VECTOR_CHUNK", 25)
+    got = r.dense_topk(v, q, 5)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoopJoin" not in plan
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
