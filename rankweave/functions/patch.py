@@ -1,27 +1,38 @@
-"""Unified diffs as rows: every line with its file and its numbers on both sides, by window functions."""
+"""Unified diffs as rows: every line with its file and its numbers on both sides, read within its patch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+_LINE = "struct<file: string, sign: string, old: bigint, new: bigint>"
 
 
-def patch_lines(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
-    """keys, file, sign (-, + or space), old, new: the lines inside hunks of every patch, numbered on both sides.
+def lines_of(patch: str | Column) -> Column:
+    """The lines inside hunks as an array of (file, sign, old, new) in their order; null for a null patch.
 
     A hunk's header sets both counters; removed lines count on the old side, added ones on the new, all others on both.
     """
-    rows = patches.select(*keys, F.posexplode(F.split(patch, "\n")).alias("pos", "line"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    header = F.regexp_extract("line", HUNK, 1) != ""
-    rows = rows.withColumns({"hunk": F.sum(header.cast("int")).over(order), "file": F.last(F.nullif(F.regexp_extract("line", r"^\+\+\+ b/(.+)$", 1), F.lit("")), ignorenulls=True).over(order)})
-    inside = Window.partitionBy(*keys, "hunk").orderBy("pos")
-    sign = F.when(header, "@").when(F.startswith("line", F.lit("-")) & ~F.startswith("line", F.lit("---")), "-").when(F.startswith("line", F.lit("+")) & ~F.startswith("line", F.lit("+++")), "+").otherwise(" ")
-    rows = rows.where("hunk > 0").withColumn("sign", sign)
-    start = lambda n: F.first(F.regexp_extract("line", HUNK, n)).over(inside).cast("long")
-    before = lambda signs: F.coalesce(F.sum(F.col("sign").isin(*signs).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"old": start(1) + before(("-", " ")), "new": start(2) + before(("+", " "))})
-    return rows.where("sign <> '@'").select(*keys, "file", "sign", "old", "new")
+    header = lambda x: x.rlike(HUNK)
+    group = lambda x, i: F.regexp_extract(x, HUNK, i).cast("long")
+
+    def step(s, x):
+        named = F.nullif(F.regexp_extract(x, r"^\+\+\+ b/(.+)$", 1), F.lit(""))
+        file = F.coalesce(named, s["file"])
+        sign = F.when(F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---")), "-").when(F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")), "+").otherwise(" ")
+        line = F.struct(file.alias("file"), sign.alias("sign"), s["old"].alias("old"), s["new"].alias("new"))
+        inside = F.struct(file.alias("file"), (s["old"] + (sign != "+").cast("long")).alias("old"), (s["new"] + (sign != "-").cast("long")).alias("new"), F.array_append(s["out"], line).alias("out"))
+        start = F.struct(file.alias("file"), group(x, 1).alias("old"), group(x, 2).alias("new"), s["out"].alias("out"))
+        before = F.struct(file.alias("file"), s["old"].alias("old"), s["new"].alias("new"), s["out"].alias("out"))
+        return F.when(header(x), start).when(s["old"].isNotNull(), inside).otherwise(before)
+
+    none = F.lit(None)
+    zero = F.struct(none.cast("string").alias("file"), none.cast("long").alias("old"), none.cast("long").alias("new"), F.array().cast(f"array<{_LINE}>").alias("out"))
+    return F.aggregate(F.split(patch, "\n"), zero, step, lambda s: s["out"])
+
+
+def patch_lines(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
+    """keys, file, sign (-, + or space), old, new: the lines inside hunks of every patch (``lines_of``). Nothing is shuffled."""
+    # (outer, as Spark would read the patch once more to test that it has lines)
+    return patches.select(*keys, F.inline_outer(lines_of(patch))).where("sign IS NOT NULL")

@@ -86,3 +86,16 @@ def test_dense_search_with_copies_and_odd_vectors(spark, monkeypatch):
     got = r.dense_topk(v, q, 5)
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoopJoin" not in plan
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_patches_are_read_within_their_rows(spark):
+    """No line is shuffled, rows that share a key aren't mixed, and a file's lines come from its whole patch."""
+    from rankweave.plans.file_queries import base_per_file
+
+    one = "--- a/a.py\n+++ b/a.py\n@@ -3 +3 @@\n-old\n@@ -1 +1,0 @@\n-gone\n--- a/b.py\n+++ b/b.py\n@@ -7 +7 @@\n+new"
+    rows = spark.createDataFrame([("i", one), ("i", one), ("k", None)], "id string, patch string")
+    found = patch_lines(rows, ["id"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["file"], x["sign"], x["old"], x["new"]) for x in found.where("sign <> ' '").collect()) == sorted([("a.py", "-", 3, 3), ("a.py", "-", 1, 1), ("b.py", "+", 7, 7)] * 2)
+    per = base_per_file(rows.distinct(), ["id"])
+    assert [tuple(x) for x in per.collect()] == [("i", "a.py", "1 3")]
