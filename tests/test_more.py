@@ -99,3 +99,14 @@ def test_patches_are_read_within_their_rows(spark):
     assert sorted((x["file"], x["sign"], x["old"], x["new"]) for x in found.where("sign <> ' '").collect()) == sorted([("a.py", "-", 3, 3), ("a.py", "-", 1, 1), ("b.py", "+", 7, 7)] * 2)
     per = base_per_file(rows.distinct(), ["id"])
     assert [tuple(x) for x in per.collect()] == [("i", "a.py", "1 3")]
+
+
+def test_cosine_of_two_documents_within_a_row(spark):
+    from rankweave.plans.file_queries import two_cosine
+
+    rows = spark.createDataFrame([(1, "a b b c", "b c"), (2, "a", "z"), (3, None, None), (4, "x y", "y x")], "id long, p string, q string")
+    got = two_cosine(rows, ["id"], "p", "q")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    i = (1 + np.log(1.5)) ** 2
+    want = (1 * 1 + 0.5 * 1) / (np.sqrt(0.25 * i + 1 + 0.25) * np.sqrt(2))
+    assert {x["id"]: x["score"] for x in got.collect()} == {1: round(want, 6), 2: 0.0, 4: 1.0}
