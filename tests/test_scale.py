@@ -113,3 +113,20 @@ def test_candidates_meet_their_text_without_a_join(spark, monkeypatch):
     words = F.array_distinct(F.filter(F.split(F.lower("path"), r"[/._\-]"), lambda x: x != ""))
     want = fixtures.ranked(spark, DATA, "a").join(asked, "issue_id", "left").select("issue_id", F.size(words).cast("double").alias("n_words"), F.coalesce(F.size(F.array_intersect(words, "asked")), F.lit(0)).cast("double").alias("shared"))
     assert sorted(map(tuple, seen[0].select("issue_id", "n_words", "shared").collect())) == sorted((a, b, max(c, 0.0)) for a, b, c in want.collect())
+
+
+@pytest.mark.parametrize("expected", [2, 1000])
+def test_files_of_the_directories_beside(spark, expected):
+    """The three first by hash, with a bound that is too low for some directories and with one that keeps all."""
+    import hashlib
+
+    from rankweave.plans import pool_queries as q
+
+    paths = [f"u{i % 2}/d{i % 5}/f{i}.py" for i in range(60)] + ["u2/d0/x.py", "u3/d0/x.py", "u3/d1/y.py"]
+    got = q.neighbours_of(spark.createDataFrame([("r", p) for p in paths], "repo string, path string"), 3, expected)
+    up, folder = (lambda p: p.split("/")[0]), (lambda p: p.rsplit("/", 1)[0])
+    want = []
+    for o in {folder(p) for p in paths}:
+        beside = sorted((hashlib.md5(f"near|{o}|{p}".encode()).hexdigest(), p) for p in paths if up(p) == o.split("/")[0] and folder(p) != o)
+        want += [("r", o, p) for _, p in beside[:3]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
