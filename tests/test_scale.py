@@ -130,3 +130,17 @@ def test_files_of_the_directories_beside(spark, expected):
         beside = sorted((hashlib.md5(f"near|{o}|{p}".encode()).hexdigest(), p) for p in paths if up(p) == o.split("/")[0] and folder(p) != o)
         want += [("r", o, p) for _, p in beside[:3]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@needs_tables
+def test_issues_that_code_settles_take_one_pass_over_the_lists(spark):
+    """Text, true files and both lists meet in one row: what is written is that row, and nothing of it was dealt by issue."""
+    from rankweave.plans import pool_queries as q
+
+    seen, write = [], q.written
+    q.written = lambda df, what: seen.append(df) or write(df, what)
+    try:
+        found = {x.issue_id: x.jaccard for x in q._crucial(spark, DATA).collect()}
+    finally:
+        q.written = write
+    assert found and not [k for k in exchanges(seen[0]) if "issue_id" in k]
