@@ -144,3 +144,18 @@ def test_issues_that_code_settles_take_one_pass_over_the_lists(spark):
     finally:
         q.written = write
     assert found and not [k for k in exchanges(seen[0]) if "issue_id" in k]
+
+
+@needs_tables
+def test_a_directory_counts_its_files_once(spark):
+    """Issues aren't joined to every file of their directory."""
+    import __spark_entry__ as entry
+
+    F = fixtures.F
+    got = entry.queries()["challenge_same_dir"](spark, DATA)
+    assert "isnotnull(path" not in got._jdf.queryExecution().optimizedPlan().toString() and "count(1)" in got._jdf.queryExecution().optimizedPlan().toString()
+    g = fixtures.changes(spark, DATA).groupBy("repo", "issue_id").agg(F.min("path").alias("g"))
+    cut = lambda c: F.regexp_extract(c, "^(.*)/", 1)
+    want = g.join(fixtures.files(spark, DATA), "repo").where((cut("path") == cut("g")) & (F.col("path") != F.col("g"))).groupBy("issue_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not [k for k in exchanges(got) if k == "repo, dir" and "path" in k]
