@@ -14,11 +14,12 @@ def lines_of(patch: str | Column) -> Column:
 
     A hunk's header sets both counters; removed lines count on the old side, added ones on the new, all others on both.
     """
-    header = lambda x: x.rlike(HUNK)
+    # (how a line begins is looked at first: few lines need a pattern)
+    header = lambda x: F.startswith(x, F.lit("@@ -")) & x.rlike(HUNK)
     group = lambda x, i: F.regexp_extract(x, HUNK, i).cast("long")
 
     def step(s, x):
-        named = F.nullif(F.regexp_extract(x, r"^\+\+\+ b/(.+)$", 1), F.lit(""))
+        named = F.when(F.startswith(x, F.lit("+++ b/")), F.nullif(F.regexp_extract(x, r"^\+\+\+ b/(.+)$", 1), F.lit("")))
         file = F.coalesce(named, s["file"])
         sign = F.when(F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---")), "-").when(F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")), "+").otherwise(" ")
         line = F.struct(file.alias("file"), sign.alias("sign"), s["old"].alias("old"), s["new"].alias("new"))
