@@ -159,3 +159,19 @@ def test_a_directory_counts_its_files_once(spark):
     want = g.join(fixtures.files(spark, DATA), "repo").where((cut("path") == cut("g")) & (F.col("path") != F.col("g"))).groupBy("issue_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert not [k for k in exchanges(got) if k == "repo, dir" and "path" in k]
+
+
+def test_a_score_of_zero_has_infinite_log_odds(spark, monkeypatch):
+    """As the SQL's ln has it; such a score was null."""
+    import duckdb
+
+    from rankweave.plans import file_queries as q
+
+    rows = [("1", "a", 0.0), ("1", "b", 0.000001), ("2", "c", 1.2), ("2", "d", 1.7)]
+    monkeypatch.setattr(q, "ranked", lambda *a: spark.createDataFrame(rows, "issue_id string, path string, score double"))
+    got = sorted(map(tuple, q._pointwise(spark, DATA).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE ra (issue_id VARCHAR, path VARCHAR, score DOUBLE)")
+    con.executemany("INSERT INTO ra VALUES (?, ?, ?)", rows)
+    want = con.execute("SELECT issue_id, path, round(ln(score / (1.7::DOUBLE - score)), 6) AS score FROM ra WHERE score < 1.7 ORDER BY ALL").fetchall()
+    assert got == want and got[0][2] == float("-inf")
