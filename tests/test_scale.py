@@ -175,3 +175,32 @@ def test_a_score_of_zero_has_infinite_log_odds(spark, monkeypatch):
     con.executemany("INSERT INTO ra VALUES (?, ?, ?)", rows)
     want = con.execute("SELECT issue_id, path, round(ln(score / (1.7::DOUBLE - score)), 6) AS score FROM ra WHERE score < 1.7 ORDER BY ALL").fetchall()
     assert got == want and got[0][2] == float("-inf")
+
+
+#: Documents with ids that repeat, null ids and texts, and items whose passages some of them hold.
+REPEATED = [(1, "the cat sat"), (1, "cat cat dog"), (2, "dog sat on the mat"), (2, "dog sat on the mat"), (3, "a bird"), (None, "cat bird"), (None, "cat"), (4, None), (5, ""), (6, "mat dog cat"), (7, "dog sat"), (7, "mat")]
+ASKED = [(1, "dog sat"), (2, "cat mat cat"), (3, "none")]
+
+
+def _oracle(sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", REPEATED)
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", ASKED)
+    return sorted(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("name", ["bm25_okapi", "bm25_custom", "bm25_pathcode", "topk_stable", "bm25_func_negatives"])
+def test_texts_are_dealt_once_for_an_index(spark, name, tmp_path):
+    """Texts were dealt four times and more, for counts, lengths and statistics each; ids that repeat are one document, as in the SQL."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(REPEATED, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ASKED, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = entry.queries()[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("REPARTITION_BY_COL", plan)) == 1
+    assert sorted(map(tuple, got.collect())) == _oracle(entry.oracle_sql()[name])
