@@ -51,6 +51,4 @@ SELECT doc_id, left(coalesce(view, array_to_string(string_split(text, chr(10))[1
 )
 def _bm25(s, d):
     """A file's five best functions for its question, or its first lines."""
-    files = _code(s, d)
-    defined = v.functions(files, ["doc_id"])
-    return v.packed(files, v.ranked_functions(defined, files, ["doc_id"]), ["doc_id"])
+    return v.views(_code(s, d), ["doc_id"])

@@ -60,3 +60,22 @@ def test_views(spark):
             want, kind = ("# (file not available)", "none") if x is None else ("\n".join(x.split("\n")[:50]), "head")
         assert (found[k]["view"], found[k]["kind"]) == (want[:2000], kind), k
     assert len(found[6]["view"]) == 2000
+
+
+def test_views_without_a_shuffle(spark):
+    """A file's functions, scores and view are worked out in its row (texts and words were shuffled several times)."""
+    query = "spam spam f3 return Y word"
+    rows = spark.createDataFrame([(k, x, None if k == 2 else query) for k, x in TEXTS.items()], "id int, text string, query string")
+    got = v.views(rows, ["id"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = v.packed(rows, v.ranked_functions(v.functions(rows, ["id"]), rows, ["id"]), ["id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_query_of_views_shuffles_nothing(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "One a. Two b. Three a b"), (2, None), (9, "prose")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["code_view_bm25_funcs"](spark, str(tmp_path))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.kind for r in got.collect()} == {1: "functions", 2: "functions", 9: "head"}
