@@ -204,3 +204,25 @@ def test_texts_are_dealt_once_for_an_index(spark, name, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("REPARTITION_BY_COL", plan)) == 1
     assert sorted(map(tuple, got.collect())) == _oracle(entry.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_edges_are_dealt_anew_without_their_left_ends(spark, monkeypatch, digits):
+    """Runs of left ends meet the edges' parts; edges were numbered twice over a whole repo, and joined by number."""
+    import hashlib
+    import random
+
+    from rankweave.operators import graph as g
+
+    monkeypatch.setattr(g, "DEALT", digits, raising=False)
+    draw = random.Random(5)
+    rows = [(repo, f"{repo}{i}", f"d{draw.randrange(20)}/f.py") for repo in ("r", "q") for i in range(60) for _ in range(draw.randrange(1, 5))] + [("s", "1", "x"), ("s", "2", None)]
+    changes = spark.createDataFrame(rows, "repo string, issue_id string, path string")
+    got = g.dealt_anew(changes)
+    want = []
+    for repo in ("r", "q", "s"):
+        pairs = sorted({(a, b) for x, i, a in rows for y, j, b in rows if x == y == repo and i == j and a and b and a != b})
+        dealt = sorted(pairs, key=lambda p: (hashlib.md5(f"edge|{p[0]}|{p[1]}".encode()).hexdigest(), p))
+        want += [(repo, a, b) for (a, _), (_, b) in zip(pairs, dealt)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert not [k for k in exchanges(got) if k.split(", ") == ["repo", "i"]]
