@@ -30,3 +30,14 @@ def test_issues_and_their_repos_files_are_no_rows_of_a_shuffle(spark, name):
     import __spark_entry__ as entry
 
     assert not [k for k in exchanges(entry.queries()[name](spark, DATA)) if "issue_id" in k and "path" in k]
+
+
+@needs_tables
+def test_every_file_of_the_three_lists_has_a_source(spark):
+    import __spark_entry__ as entry
+    from rankweave.sources import fixtures
+
+    every = fixtures.ranked(spark, DATA, "a")
+    for x in "bc":
+        every = every.unionByName(fixtures.ranked(spark, DATA, x))
+    assert entry.queries()["dedup_priority"](spark, DATA).count() == every.select("issue_id", "path").distinct().count()
