@@ -41,3 +41,11 @@ def test_every_file_of_the_three_lists_has_a_source(spark):
     for x in "bc":
         every = every.unionByName(fixtures.ranked(spark, DATA, x))
     assert entry.queries()["dedup_priority"](spark, DATA).count() == every.select("issue_id", "path").distinct().count()
+
+
+def test_a_full_ranking_holds_documents_without_a_hit(spark):
+    from rankweave.operators import retrieval as r
+
+    scored = spark.createDataFrame([(1, 7, 2.0), (2, 7, 1.0), (2, 9, 0.5)], "q long, doc long, score double")
+    got = r.full_ranking(scored, spark.createDataFrame([(7,), (8,), (9,), (9,)], "doc long"), spark.createDataFrame([(1,), (2,)], "q long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 2.0), (1, 8, 0.0), (1, 9, 0.0), (2, 7, 1.0), (2, 8, 0.0), (2, 9, 0.5)]
