@@ -49,3 +49,14 @@ def test_a_full_ranking_holds_documents_without_a_hit(spark):
     scored = spark.createDataFrame([(1, 7, 2.0), (2, 7, 1.0), (2, 9, 0.5)], "q long, doc long, score double")
     got = r.full_ranking(scored, spark.createDataFrame([(7,), (8,), (9,), (9,)], "doc long"), spark.createDataFrame([(1,), (2,)], "q long"))
     assert sorted(map(tuple, got.collect())) == [(1, 7, 2.0), (1, 8, 0.0), (1, 9, 0.0), (2, 7, 1.0), (2, 8, 0.0), (2, 9, 0.5)]
+
+
+@needs_tables
+def test_true_files_that_a_list_misses_are_candidates_of_the_anchor(spark):
+    import __spark_entry__ as entry
+    from rankweave.sources import fixtures
+
+    listed = fixtures.ranked(spark, DATA, "a").select("issue_id", "path")
+    missed = fixtures.changes(spark, DATA).select("issue_id", "path").join(listed, ["issue_id", "path"], "left_anti").join(listed, "issue_id", "left_semi")
+    got = entry.queries()["anchor_fusion"](spark, DATA).select("issue_id", "path")
+    assert missed.count() > 0 and missed.join(got, ["issue_id", "path"], "left_anti").count() == 0 and listed.count() <= got.count()
