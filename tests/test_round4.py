@@ -60,3 +60,10 @@ def test_true_files_that_a_list_misses_are_candidates_of_the_anchor(spark):
     missed = fixtures.changes(spark, DATA).select("issue_id", "path").join(listed, ["issue_id", "path"], "left_anti").join(listed, "issue_id", "left_semi")
     got = entry.queries()["anchor_fusion"](spark, DATA).select("issue_id", "path")
     assert missed.count() > 0 and missed.join(got, ["issue_id", "path"], "left_anti").count() == 0 and listed.count() <= got.count()
+
+
+@pytest.mark.parametrize("name", ["bootstrap_paired", "bootstrap_mean", "bootstrap_cluster", "bootstrap_repo_ci"])
+def test_ten_thousand_resamples(name):
+    from rankweave.plans.registry import ORACLE_SQL
+
+    assert "range(0, 10000)" in ORACLE_SQL[name]
