@@ -84,3 +84,11 @@ def test_best_file_of_two_scores(spark):
     rows = spark.createDataFrame([([0.5, 0.5], [0.1, 0.2], [True, False]), ([0.25], [0.0], [False]), ([0.1, 0.2, 0.3], [1.0, 0.0, 0.0], [True, False, False])], "a array<double>, b array<double>, gt array<boolean>")
     got = fusion.best_of_pair(rows, {"a": lambda a, b: a, "sum": lambda a, b: fusion.rounded(a + b)})
     assert {tuple(x) for x in got.collect()} == {("a", 1, 3), ("sum", 1, 3)}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["graph_features", "file_category", "graph_explain", "neighbors_all"])
+def test_edges_reach_lists_by_customer(spark, name):
+    import __spark_entry__ as entry
+
+    assert not [k for k in exchanges(entry.queries()[name](spark, DATA)) if "issue_id" in k and "path" in k]
